@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import exact_dedup, sharding
+    from . import bpe, exact_dedup, media, mixing, quality, sharding
 
     return {
+        "op1_media": media.op1_media,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_quality": quality.op5_quality,
         "op8_sharding": sharding.op8_sharding,
+        "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_dedup, sharding
+    from . import exact_dedup, mixing, sharding
 
     return {
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op8_sharding": sharding.OP8_SQL,
+        "op9_mixing": mixing.OP9_SQL,
     }

@@ -4,19 +4,40 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that the contracts mean: space and the five ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows and bytes of text that a Python operator works on at once.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where they don't share the driver's path: send its source, once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_quarry_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="quarry-source-")) / "quarry-source.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._quarry_shipped = True
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -44,3 +65,16 @@ def whole_text(column: str | Column = "text") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batch: pa.RecordBatch, column: str, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows and about ``most`` bytes of the given column."""
+    start, held = 0, 0
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= rows or held + n > most):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(lengths):
+        yield batch.slice(start)
