@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, exact_dedup, media, mixing, quality, sharding
+    from . import arrow_output, bpe, exact_dedup, media, mixing, pii, quality, sharding, simhash
 
     return {
         "op1_media": media.op1_media,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_simhash": simhash.op3_simhash,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality": quality.op5_quality,
+        "op7_arrow_output": arrow_output.op7_arrow_output,
         "op8_sharding": sharding.op8_sharding,
         "op9_mixing": mixing.op9_mixing,
+        "op10_pii": pii.op10_pii,
     }
 
 
