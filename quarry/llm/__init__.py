@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import arrow_output, bpe, exact_dedup, media, mixing, pii, quality, sharding, simhash
+    from . import arrow_output, bpe, exact_dedup, media, mixing, pii, quality, sharding, simhash, suffix
 
     return {
         "op1_media": media.op1_media,
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3_simhash,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality": quality.op5_quality,
+        "op6_suffix": suffix.op6_suffix,
         "op7_arrow_output": arrow_output.op7_arrow_output,
         "op8_sharding": sharding.op8_sharding,
         "op9_mixing": mixing.op9_mixing,
