@@ -76,7 +76,7 @@ def _reduced(collection, q: Q) -> Build:
     return lambda spark, sf_dir: collection(spark, sf_dir).aggregate(q)
 
 
-_TIME = dt.datetime(2024, 1, 10, 12)
+_TIME = dt.datetime(2024, 1, 1, 4, 51, 20, 500_000)
 
 
 def _filters() -> dict[str, tuple[Build, str]]:
@@ -120,16 +120,16 @@ def _filters() -> dict[str, tuple[Build, str]]:
         "float_bound_on_int": o(GT("o_custkey", 99.5), "o_custkey >= 100"),
         "float_eq_on_int": o(EQ("o_custkey", 7.5), "false"),
         "out_of_range_literal": o(LT("o_custkey", 2**70), "true"),
-        "hasall": p(HASALL("tags", ["blue", "steel"]), f"{has('blue')} and {has('steel')}"),
-        "hasany": p(HASANY("tags", ["blue", "steel", "red"]), f"{has('blue')} or {has('steel')} or {has('red')}"),
+        "hasall": p(HASALL("tags", ["blue", "rod"]), f"{has('blue')} and {has('rod')}"),
+        "hasany": p(HASANY("tags", ["blue", "rod", "large"]), f"{has('blue')} or {has('rod')} or {has('large')}"),
         "hasnone": p(HASNONE("tags", ["blue", "red"]), f"not {has('blue')} and not {has('red')}"),
-        "has": p(HAS("tags", "green"), has("green")),
+        "has": p(HAS("tags", "gizmo"), has("gizmo")),
         "set_eq": p(EQ("tags", ["widget", "blue", "blue"]), f"len(list_distinct(tags)) = 2 and {has('blue')} and {has('widget')}"),
         "set_eq_empty": p(EQ("tags", []), "len(tags) = 0"),
         "array_any_range": p(GT("tags", "t"), "len(list_filter(tags, lambda x: x > 't')) > 0"),
         "array_any_prefix": p(PREFIX("tags", "b"), "len(list_filter(tags, lambda x: starts_with(x, 'b'))) > 0"),
-        "time_eq_second": e(EQ("ts", _TIME), f"{_SECOND} = epoch(timestamp '2024-01-10 12:00:00')::bigint"),
-        "time_range": e(AND(GT("ts", _TIME), LTE("ts", _TIME + dt.timedelta(days=3))), f"{_SECOND} > epoch(timestamp '2024-01-10 12:00:00')::bigint and {_SECOND} <= epoch(timestamp '2024-01-13 12:00:00')::bigint"),
+        "time_eq_second": e(EQ("ts", _TIME), f"{_SECOND} = epoch(timestamp '2024-01-01 04:51:20')::bigint"),
+        "time_range": e(AND(GT("ts", _TIME), LTE("ts", _TIME + dt.timedelta(days=3))), f"{_SECOND} > epoch(timestamp '2024-01-01 04:51:20')::bigint and {_SECOND} <= epoch(timestamp '2024-01-04 04:51:20')::bigint"),
         "time_unix": e(GTE("ts", 1704888000), f"{_SECOND} >= 1704888000"),
         "key_eq": o(EQ(KEY, 42), "o_orderkey = 42"),
         "key_in": o(IN(KEY, [1, 5, 9, -3]), "o_orderkey in (1, 5, 9)"),
@@ -146,7 +146,7 @@ def _orderings() -> dict[str, tuple[Build, str]]:
         return _keys(part, q), f"select p_partkey from {_PART} {tail}"
 
     places = "case {} when '3-MEDIUM' then 0 when '1-URGENT' then 1 end".format("o_orderpriority")
-    array_places = "case when list_contains(tags, 'steel') then 0 when list_contains(tags, 'blue') then 1 end"
+    array_places = "case when list_contains(tags, 'rod') then 0 when list_contains(tags, 'blue') then 1 end"
     urgent = ["3-MEDIUM", "1-URGENT", "3-MEDIUM"]
     return {
         "flagship": (
@@ -165,8 +165,8 @@ def _orderings() -> dict[str, tuple[Build, str]]:
         "pos_scalar_asc": o(query().sort_by(POS("o_orderpriority", urgent)).limit(500), f"order by {places} asc nulls last, o_orderkey limit 500"),
         "pos_scalar_desc": o(query().sort_by(POS("o_orderpriority", urgent), DESC).limit(500), f"order by {places} desc nulls last, o_orderkey limit 500"),
         "pos_null_rank": o(query().sort_by(POS("status", [None, "O"])).limit(300), "order by case when status is null then 0 when status = 'O' then 1 end nulls last, o_orderkey limit 300"),
-        "pos_array_asc": p(query().sort_by(POS("tags", ["steel", "blue"])).limit(60), f"order by {array_places} asc nulls last, p_partkey limit 60"),
-        "pos_array_desc": p(query().sort_by(POS("tags", ["steel", "blue"]), DESC).limit(60), f"order by {array_places} desc nulls last, p_partkey limit 60"),
+        "pos_array_asc": p(query().sort_by(POS("tags", ["rod", "blue"])).limit(60), f"order by {array_places} asc nulls last, p_partkey limit 60"),
+        "pos_array_desc": p(query().sort_by(POS("tags", ["rod", "blue"]), DESC).limit(60), f"order by {array_places} desc nulls last, p_partkey limit 60"),
         "pos_empty": o(query().sort_by(POS("o_orderstatus", [])).limit(20), "order by o_orderkey limit 20"),
         "key_asc": o(query(GT("o_custkey", 5)).sort(KEY).limit(25), "where o_custkey > 5 order by o_orderkey limit 25"),
         "key_desc": o(query().sort(KEY, DESC).limit(25), "order by o_orderkey desc limit 25"),
