@@ -92,6 +92,22 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def _crc_bits() -> list[int]:
+    """What each bit of a byte adds to a CRC-32, by the rule of its polynomial."""
+    found = []
+    for bit in range(8):
+        c = 1 << bit
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        found.append(c)
+    return found
+
+
+#: SQL for the table entry of the byte {0}: an exclusive or over its bits.
+_CRC_SQL = "0"
+for _bit, _value in enumerate(_crc_bits()):
+    _CRC_SQL = f"xor({_CRC_SQL}, (({{0}} >> {_bit}) & 1) * {_value})"
+
 OP8_SQL = f"""
 with recursive t as (
   select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b,
@@ -105,13 +121,11 @@ with recursive t as (
 ), done as (
   select r, b as shard, case when j = {SHARDS} then {SHARDS} else b end as grown, cast((key >> 32) % (select greatest(1, ceil(count(*) / {SHARDS * CHUNK_ROWS}.0)) from documents)::bigint as bigint) as chunk
   from loop where j >= {SHARDS}
-), bits as (
-  select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as crc_table
 ), sums as (
   select r, doc_id, octet_length(b) + {ROW_BYTES} as size,
-         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(b)), lambda i: cast(('0x' || substr(hex(b), 2 * i + 1, 2)) as bigint))),
-             lambda c, x: xor(c // 256, crc_table[cast(xor(c % 256, x) as bigint) + 1])), 4294967295) as crc
-  from t, bits
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(b), '..'), lambda h: cast('0x' || h as bigint))),
+             lambda c, x: xor(c >> 8, {_CRC_SQL.format("xor(c & 255, x)")})), 4294967295) as crc
+  from t
 )
 select doc_id, cast(size as bigint) as size, cast(crc as bigint) as text_crc32, 'key' as law, cast(shard as integer) as shard,
        row_number() over (partition by shard order by chunk, doc_id nulls first, crc, size) - 1 as slot, cast(grown as integer) as grown_shard
