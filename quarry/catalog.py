@@ -8,6 +8,8 @@ rows, for aggregates). Filters are shown by the keys they select.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from .expr import (
 )
 from .schema import KEY, Schema
 from .sources.collection import Collection
+from .sources.store import Store, StoredCollection
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -256,8 +259,60 @@ def _metadata() -> dict[str, tuple[Build, str]]:
     }
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> StoredCollection:
+    """The customers in a store of their own, in the shared folder if the session names one."""
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarry-store-')}"
+    handle = Store(spark, f"{root}/store-{uuid.uuid4().hex}", buckets=4).collection(Schema.of(df, "c_custkey", "customer", unique=["c_name"]))
+    handle.load(df)
+    return handle
+
+
+def _written(change: Callable[[StoredCollection], None]) -> Build:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        handle = _stored(spark, sf_dir)
+        change(handle)
+        return handle.latest().scan()
+
+    return build
+
+
+def _writes() -> dict[str, tuple[Build, str]]:
+    new = {"c_name": "new", "c_nationkey": 3, "c_acctbal": 1.5, "c_mktsegment": "NONE"}
+
+    def upsert(c):
+        with c.store.update() as tx:
+            c.set(tx, 1, new)
+            c.set(tx, 10**9, {**new, "c_name": "newer"})
+
+    def patch(c):
+        with c.store.update() as tx:
+            for key in range(1, 51):
+                c.patch(tx, key, {"c_mktsegment": "X", "unknown": 1})
+
+    def delete(c):
+        with c.store.update() as tx:
+            for key in (*range(1, 11), 10**9):
+                c.delete(tx, key)
+
+    def swap(c):
+        now = {k: c.latest().get(k)["c_name"] for k in (1, 2)}
+        with c.store.update() as tx:
+            c.patch(tx, 1, {"c_name": now[2]})
+            c.patch(tx, 2, {"c_name": now[1]})
+
+    rest = "c_nationkey, c_acctbal, c_mktsegment from customer"
+    return {
+        "set_upsert": (_written(upsert), "select * from customer where c_custkey <> 1 union all select k, n, 3, 1.5, 'NONE' from (values (1, 'new'), (1000000000, 'newer')) v(k, n)"),
+        "patch": (_written(patch), "select c_custkey, c_name, c_nationkey, c_acctbal, case when c_custkey between 1 and 50 then 'X' else c_mktsegment end as c_mktsegment from customer"),
+        "delete": (_written(delete), "select * from customer where c_custkey not between 1 and 10"),
+        "truncate": (_written(lambda c: c.truncate()), "select * from customer where false"),
+        "unique_swap": (_written(swap), f"select c_custkey, case c_custkey when 1 then (select c_name from customer where c_custkey = 2) when 2 then (select c_name from customer where c_custkey = 1) else c_name end as c_name, {rest}"),
+    }
+
+
 def _all() -> dict[str, tuple[Build, str]]:
-    return _orderings() | _filters() | _aggregates() | _metadata()
+    return _orderings() | _filters() | _aggregates() | _metadata() | _writes()
 
 
 def queries() -> dict[str, Build]:

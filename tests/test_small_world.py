@@ -154,3 +154,15 @@ def test_filters_reach_the_scan(spark, tmp_path):
     stored = Collection(spark.read.parquet(str(tmp_path / "w")), collection.schema)
     plan = stored.explain(query(NOT(LTE("age", 20)), PREFIX("name", "a")))
     assert "StringStartsWith(name,a)" in plan and "Or(IsNull(age),GreaterThan(age,20))" in plan
+
+
+def test_traces(spark, tmp_path):
+    from quarry.sources.trace import Tracer
+
+    collection, _ = world(spark, "overlap")
+    collection.df.write.parquet(str(tmp_path / "w"))
+    stored, events = Collection(spark.read.parquet(str(tmp_path / "w")), collection.schema), []
+    tracer = Tracer(events.append, every=2)
+    for _ in range(4):
+        rows = tracer.collect("query", stored.query(query(GT("age", 20)).sort("age").limit(2)))
+    assert len(events) == 2 and events[0].rows == len(rows) == 2 and "TakeOrderedAndProject" in events[0].operators and "GreaterThan(age,20)" in events[0].pushed[0]
