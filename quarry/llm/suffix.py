@@ -9,8 +9,8 @@ with every other is done through a parse, so that only a phrase end in each stre
   t are decided together: they are told apart by the end of the phrase before t and by the text after t.
 * Candidates. Strings that repeat agree on the ``LENGTH - WINDOW + 1`` bytes after their trigger. Triggers whose hash of
   these bytes occurs once are done; this only prunes, a hash collision costs time and nothing else.
-* Contexts. For the others (phrase before t, LENGTH bytes from t) is grouped by its bytes, so any number of copies is one
-  context with a count, formed in the map tasks first.
+* Contexts. For the others (phrase before t, LENGTH bytes from t) is counted by its bytes in the map tasks, so that any number
+  of copies is one row of a map task.
 * Order. Contexts that share a trigger's bytes meet in a task in the order of the text after t (the suffixes of the parse),
   with the common prefix of neighbours; the phrases before t are sorted by their reversed bytes (the suffixes of the
   dictionary), with the common suffix of neighbours. At distance o two contexts hold the same string just when they share o
@@ -41,7 +41,9 @@ LENGTH, WINDOW, GRAM = 400, 256, 16
 #: Occurrences from which a trigger's distances are looked at in parts, and how many parts.
 HOT, PARTS = 20_000, 8
 #: Bytes parsed and contexts ordered at once.
-BYTES_AT_ONCE, CONTEXTS_AT_ONCE = 2 << 20, 1 << 15
+BYTES_AT_ONCE, CONTEXTS_AT_ONCE = 1 << 20, 1 << 14
+#: Bytes of contexts that a map task holds to count equal ones.
+TABLE_BYTES = 32 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -138,31 +140,52 @@ def _triggers_of(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.R
 # contexts
 
 
-def _contexts_of(batches: Iterator[pa.RecordBatch], rule: Rule, occurrences: bool) -> Iterator[pa.RecordBatch]:
-    """Contexts of the candidate triggers, either once each with a count or, for every occurrence, only the context's digest."""
+def _candidates(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[list[tuple[int, int, int, int, bytes, bytes]]]:
+    """Contexts of the candidate triggers of one row after another: (id, hash, place, part, phrase before, text after)."""
     for batch in batches:
         for part in slices(batch, "text", most=BYTES_AT_ONCE):
-            seen: dict[tuple[int, bytes, bytes], int] = {}
-            where: list[tuple[int, int, int, int, bytes]] = []
             for row in range(part.num_rows):
                 text, dk, tk = (part.column(c)[row].as_py() for c in ("text", "dk", "tk"))
-                found = part.column("found")[row].values
+                found, made = part.column("found")[row].values, []
                 for t, first, hot in zip(*(found.field(c).to_pylist() for c in ("t", "first", "hot")), strict=True):
                     for number, low, high in rule.ranges(hot):
                         if t - first < low:
                             break
-                        e, r = text[max(first, t - high) : t], text[t : t + rule.length - low]
-                        if occurrences:
-                            where.append((dk, tk, t, number, _digest(number, e, r)))
-                        else:
-                            seen[number, e, r] = seen.get((number, e, r), 0) + 1
-            if occurrences:
-                columns = list(zip(*where, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["dk", "tk", "t", "part", "context"])
-            else:
-                numbers, es, rs = list(zip(*seen, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(es, pa.binary()), pa.array(rs, pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["part", "e", "r", "n"])
+                        made.append((dk, tk, t, number, text[max(first, t - high) : t], text[t : t + rule.length - low]))
+                yield made
+
+
+def _contexts_of(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Each different context of a map task with its count; the table is passed on when it grows too large."""
+    seen: dict[tuple[int, bytes, bytes], int] = {}
+    held = 0
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        rows = list(seen.items())
+        for i in range(0, len(rows), 8192):
+            keys, counts = zip(*rows[i : i + 8192], strict=True)
+            numbers, es, rs = zip(*keys, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(es, pa.binary()), pa.array(rs, pa.binary()), pa.array(counts, pa.int64())], names=["part", "e", "r", "n"])
+        seen.clear()
+
+    for made in _candidates(batches, rule):
+        for _, _, _, number, e, r in made:
+            times = seen.get((number, e, r), 0)
+            seen[number, e, r] = times + 1
+            held += 0 if times else len(e) + len(r) + 200
+        if held > TABLE_BYTES:
+            yield from passed_on()
+            held = 0
+    yield from passed_on()
+
+
+def _occurrences_of(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Where each context occurs, with only the context's digest."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    for made in _candidates(batches, rule):
+        if made:
+            columns = zip(*((dk, tk, t, number, _digest(number, e, r)) for dk, tk, t, number, e, r in made), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["dk", "tk", "t", "part", "context"])
 
 
 def _digest(number: int, e: bytes, r: bytes) -> bytes:
@@ -213,7 +236,7 @@ def repeated_distances(group: np.ndarray, e: list[bytes], r: list[bytes], n: np.
 
 
 def _decide(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, e, r, n) in the order of (key, part, r) to the repeated ranges of distances of each context."""
+    """Rows (key, part, e, r, n) in the order of (key, part, r, e) to the repeated ranges of distances of each context."""
     limits = {number: (low, high) for hot in (False, True) for number, low, high in rule.ranges(hot)}
     held: list[pa.RecordBatch] = []
     waiting = 0
@@ -225,6 +248,13 @@ def _decide(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
         alone = (np.bincount(group)[group] == 1) & (n == 1)
         pick = np.flatnonzero(~alone)
         e, r = (table.column(c).take(pa.array(pick)).to_pylist() for c in ("e", "r"))
+        # the same context from several map tasks: its rows follow one another
+        first = np.array([not i or group[pick[i]] != group[pick[i - 1]] or r[i] != r[i - 1] or e[i] != e[i - 1] for i in range(len(pick))], bool)
+        at = np.flatnonzero(first)
+        if len(at):
+            n = n.copy()
+            n[pick[at]] = np.add.reduceat(n[pick], at)
+        pick, e, r = pick[at], [e[i] for i in at], [r[i] for i in at]
         low, high = (np.array([limits[p][i] for p in part[pick]], np.int64) for i in (0, 1))
         mask = repeated_distances(group[pick], e, r, n[pick], rule, low, high) if len(pick) else np.zeros((0, rule.window), bool)
         edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
@@ -290,16 +320,15 @@ def remove_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     listed = candidates.groupBy("dk", "tk").agg(F.collect_set("one").alias("found"))
     dealt = rows.repartition(shuffle_partitions(spark), "dk", "tk")
     with_found = dealt.join(listed, ["dk", "tk"])
-    contexts = with_found.mapInArrow(lambda b: _contexts_of(b, rule, False), "part int, e binary, r binary, n long")
-    different = contexts.groupBy("part", "e", "r").agg(F.sum("n").alias("n"))
+    contexts = with_found.mapInArrow(lambda b: _contexts_of(b, rule), "part int, e binary, r binary, n long")
     lows = F.create_map(*(F.lit(x) for hot in (False, True) for number, low, _ in rule.ranges(hot) for x in (number, low)))
     highs = F.create_map(*(F.lit(x) for hot in (False, True) for number, _, high in rule.ranges(hot) for x in (number, high)))
     low, high = F.element_at(lows, F.col("part")), F.element_at(highs, F.col("part"))
     shared_after, shared_before = F.substring(F.col("r"), F.lit(1), F.lit(rule.length) - high), F.substring(F.col("e"), F.greatest(F.length("e") - low + 1, F.lit(1)), low)
-    keyed = different.select(F.xxhash64("part", shared_after, shared_before).alias("key"), "part", "e", "r", "n")
-    ordered = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "part", "r")
+    keyed = contexts.select(F.xxhash64("part", shared_after, shared_before).alias("key"), "part", "e", "r", "n")
+    ordered = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "part", "r", "e")
     decisions = ordered.mapInArrow(lambda b: _decide(b, rule), "context binary, low int, high int")
-    occurrences = with_found.mapInArrow(lambda b: _contexts_of(b, rule, True), "dk long, tk long, t int, part int, context binary")
+    occurrences = with_found.mapInArrow(lambda b: _occurrences_of(b, rule), "dk long, tk long, t int, part int, context binary")
     met = occurrences.join(decisions, "context").select("dk", "tk", F.struct((F.col("t") - F.col("high")).alias("a"), (F.col("t") - F.col("low") + rule.length).alias("z")).alias("span"))
     spans = met.groupBy("dk", "tk").agg(F.collect_list("span").alias("spans"))
     final = dealt.join(spans, ["dk", "tk"], "left").mapInArrow(lambda b: _remove(b, rule.length), "dk long, tk long, n_bytes long, n_removed long, n_spans long, kept binary")
