@@ -7,8 +7,9 @@ reader can map them and look at any sequence without a copy. They are written un
 a task that runs again replaces its files by equal ones.
 
 Tokenizing goes through the tokenizers library, word by word: neither its normalizer nor its pre-splitting pattern joins
-anything across white space, so a text's ids are those of its words in a row. Words are looked up in a bounded table, and
-those not in it are encoded together. A text with unusual white space goes to the library as a whole.
+anything across white space, so a text's ids are those of its words in a row. A single mark beside letters or digits is a
+match of its own and may be parted from them too. Words are looked up in a bounded table, and those not in it are encoded
+together. A text with unusual white space, or a letter whose lower case depends on others, goes to the library as a whole.
 
 Cases: null and empty texts have the end id only; null doc_ids come first; rows with the same id follow one another, in
 order of a hash of their texts; an empty table writes empty files. Ids of up to 16 bits are stored in 16 bits.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -34,10 +36,13 @@ from .common import materialise, read_table, shared_path, ship_package, shuffle_
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH, BATCH = 1024, 256
 END_ID = 1
-#: Words in the table of a worker, and words that are encoded in one string.
-WORDS, TOGETHER = 400_000, 64
+#: Words in a worker's newer table (the older one is as large), and words that are encoded in one string.
+WORDS, TOGETHER = 400_000, 256
 
-_UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: White space that Python's split() knows otherwise than the library, and letters whose lower case depends on others.
+_UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\u03a3\u0130]")
+#: A mark next to another sign: together they are one match of the pattern and must not be parted.
+_MARKS_TOGETHER = re.compile(r"[.,;:!?](?=[^\s\w]|_)|(?:[^\s\w]|_)(?=[.,;:!?])")
 
 
 def default_tokenizer() -> str:
@@ -51,15 +56,18 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # words of letters that are in lower case and normal form need the model alone
+        self.letters = Tokenizer(self.library.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.type = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def pack(self, ids: Sequence[int]) -> bytes:
         return np.asarray(ids, self.type).tobytes()
@@ -69,40 +77,41 @@ class WordTokenizer:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The packed ids of each text, without an end id."""
-        split = [None if t and _UNUSUAL.search(t) else (t or "").split() for t in texts]
-        new = {w for words in split if words for w in words if w not in self.words}
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-            self.cores.clear()
-            new = {w for words in split if words for w in words}
-        self._learn(new)
-        known = self.words
-        return [self.whole(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+        split = [None if t and _UNUSUAL.search(t) else _words(t or "") for t in texts]
+        new = set().union(*(words for words in split if words)) - self.words.keys()
+        if len(self.words) + len(new) > WORDS:  # words of the table before last are forgotten
+            self.words, self.before = {}, self.words
+            new = set().union(*(words for words in split if words))
+        again = new & self.before.keys()
+        self.words.update((w, self.before[w]) for w in again)
+        self._learn(new - again)
+        known = self.words.__getitem__
+        return [self.whole(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
 
     def _learn(self, new: set[str]) -> None:
-        """Put words into the table. Letters with one mark after them are looked up in lower case without the mark."""
-        cut = {w: _core(w) for w in new}
-        cores = {core for core, mark in cut.values() if mark is not None and core not in self.cores}
-        cores |= {mark for _, mark in cut.values() if mark and mark not in self.cores}
-        letters = [c for c in cores if c.isalpha()]
+        """Put words into the table. Words of letters are encoded together: each ends in its only token with an end mark."""
+        letters = [w for w in new if w.isalpha()]
+        width = self.type.itemsize
         for i in range(0, len(letters), TOGETHER):
             part = letters[i : i + TOGETHER]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.type)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):  # each word of letters ends in its only token with an end mark
-                self.cores.update(zip(part, (x.tobytes() for x in np.split(ids, stops[:-1])), strict=True))
+            ids = np.array(self.letters.encode(unicodedata.normalize("NFC", " ".join(part)), add_special_tokens=False).ids, self.type)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            packed = ids.tobytes()
+            if len(stops) == len(part):
+                self.words.update((w, packed[a:z]) for w, a, z in zip(part, [0, *stops], stops, strict=False))
             else:
-                self.cores.update((c, self.whole(c)) for c in part)
-        self.cores.update((c, self.whole(c)) for c in cores if not c.isalpha())
-        for word, (core, mark) in cut.items():
-            self.words[word] = self.whole(word) if mark is None else self.cores[core] + (self.cores[mark] if mark else b"")
-
-
-def _core(word: str) -> tuple[str, str | None]:
-    """A word's letters in lower case and the mark after them; (word, None) if it is built in another way."""
-    mark = word[-1] if word[-1] in ".,;:!?" else ""
-    core = word[: len(word) - len(mark)]
-    return (core.lower(), mark) if core.isalpha() and "Σ" not in core and "İ" not in core else (word, None)
+                self.words.update((w, self.whole(w)) for w in part)
+        self.words.update((w, self.whole(w)) for w in new if not w.isalpha())
+
+
+def _words(text: str) -> list[str]:
+    """Pieces whose ids, joined, are the text's: words in lower case, with marks parted from letters where they stand alone."""
+    text = text.lower()
+    if not _MARKS_TOGETHER.search(text):
+        for mark in ".,;:!?":
+            if mark in text:
+                text = text.replace(mark, f" {mark} ")
+    return text.split()
 
 
 @functools.lru_cache(maxsize=2)
