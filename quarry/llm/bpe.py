@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, ship_package, slices
+from .common import Carried, read_table, ship_package, slices
 
 #: Characters from which a text is cut before it is encoded.
 LONG_TEXT = 1 << 16
@@ -76,18 +76,20 @@ def encode_and_decode(docs: DataFrame, text_col: str = "text", ranks_path: str |
     """Append token_ids (array of int) and decoded (binary: the bytes that the ids stand for) to the columns ``keep`` (all but the text unless given)."""
     ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("token_ids", "decoded") and (keep is not None or c != text_col)]
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)])
+    carried = Carried(docs, names)
+    schema = T.StructType(carried.fields + [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "_q_text"):
                 ids = [encode_text(t, ranks_path, pattern) for t in part.column("_q_text").to_pylist()]
-                columns = [part.column(c) for c in names] + [pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decode_bytes(x) for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "token_ids", "decoded"])
+                columns = [part.column(c) for c in carried.names] + [pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decode_bytes(x) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*carried.names, "token_ids", "decoded"])
 
     ship_package(docs.sparkSession)
-    return docs.select(*names, F.col(text_col).alias("_q_text")).mapInArrow(run, schema)
+    coded = docs.select(*carried.inside(), F.col(text_col).alias("_q_text")).mapInArrow(run, schema)
+    return coded.select(*carried.outside(), "token_ids", "decoded")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

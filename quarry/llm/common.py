@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that the contracts mean: space and the five ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -58,6 +59,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+class Carried:
+    """Columns that pass through a Python operator under plain names, since it takes no others, and get their own back."""
+
+    def __init__(self, docs: DataFrame, columns: Iterable[str]):
+        self.columns = list(columns)
+        self.names = [f"_q_c{i}" for i in range(len(self.columns))]
+        self.fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(self.names, self.columns, strict=True)]
+
+    def inside(self) -> list[Column]:
+        return [c.alias(n) for c, n in zip(named(self.columns), self.names, strict=True)]
+
+    def outside(self) -> list[Column]:
+        return [F.col(n).alias(c) for n, c in zip(self.names, self.columns, strict=True)]
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -28,7 +28,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, shuffle_partitions, whole_text
+from .common import materialise, named, read_table, shuffle_partitions, whole_text
 
 #: Entries that a bucket of the index holds before it splits.
 CAPACITY = 1 << 16
@@ -44,7 +44,7 @@ def normalised(text: str = "text"):
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
     return (
-        docs.select(*carry, F.col(id_col).cast("long").alias("_q_id"), F.length(whole_text(text_col)).alias("_q_len"), normalised(text_col).alias("_q_norm"))
+        docs.select(*named(carry), F.col(id_col).cast("long").alias("_q_id"), F.length(whole_text(text_col)).alias("_q_len"), normalised(text_col).alias("_q_norm"))
         .withColumn("_q_hash", F.xxhash64("_q_norm"))
     )
 
@@ -140,7 +140,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         repeats, n = _first_of_repeats(entries)
     index = build_index(docs, entries.count(), id_col, text_col, capacity)
     rows = _entries(docs, id_col, text_col, *docs.columns)
-    return _one_of_repeats(_decided(rows, index), repeats, n).filter("_q_best").select(*columns)
+    return _one_of_repeats(_decided(rows, index), repeats, n).filter("_q_best").select(*named(columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, read_table, whole_text
+from .common import WORD, materialise, named, read_table, whole_text
 
 #: Words that one slot takes.
 BLOCK = 4096
@@ -148,7 +148,7 @@ def apply_mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFram
     numbered = materialise(docs.withColumn("_q_number", F.monotonically_increasing_id()), "mix-documents")
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     copies = mix(numbered, block, seed, carry=("_q_number",)).select(F.col("_q_number"), times.alias("_q_copies")).filter("_q_copies > 0")
-    return numbered.join(copies, "_q_number").withColumn("_q_copy", F.explode(F.sequence(F.lit(1), F.col("_q_copies")))).select(*docs.columns)
+    return numbered.join(copies, "_q_number").withColumn("_q_copy", F.explode(F.sequence(F.lit(1), F.col("_q_copies")))).select(*named(docs.columns))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read_table, ship_package, slices
+from .common import Carried, named, read_table, ship_package, slices
 
 BITS, DIMENSIONS = 18, 6
 GRAMS = (3, 4)
@@ -179,22 +180,24 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mo
 def score_documents(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with _q_score appended."""
     table = docs.sparkSession.sparkContext.broadcast(model.folded())
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", _q_score double"
+    carried = Carried(docs, keep)
+    schema = T.StructType([*carried.fields, T.StructField("_q_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_q_text", most=BYTES_AT_ONCE):
                 scores = score_texts([x or b"" for x in part.column("_q_text").to_pylist()], table.value)
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [pa.array(scores)], names=[*keep, "_q_score"])
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in carried.names] + [pa.array(scores)], names=[*carried.names, "_q_score"])
 
     ship_package(docs.sparkSession)
-    return docs.select(*keep, F.col(text_col).cast("binary").alias("_q_text")).mapInArrow(run, schema)
+    scored = docs.select(*carried.inside(), F.col(text_col).cast("binary").alias("_q_text")).mapInArrow(run, schema)
+    return scored.select(*carried.outside(), "_q_score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score reaches the threshold, with all their columns."""
     scored = score_documents(docs, train(*training_sample(docs, labels)), docs.columns)
-    return scored.filter(F.col("_q_score") >= threshold).select(*docs.columns)
+    return scored.filter(F.col("_q_score") >= threshold).select(*named(docs.columns))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, read_table, ship_package, shuffle_partitions, slices
+from .common import Carried, materialise, named, read_table, ship_package, shuffle_partitions, slices
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Rows that a key is planned to hold, and rows from which a key is cut into parts.
@@ -72,16 +73,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, keep: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with _q_id and _q_fp (the fingerprint as a signed long) appended."""
+    carried = Carried(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_q_text"):
                 found = np.array([fingerprint(x or b"") for x in part.column("_q_text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns - 1)] + [pa.array(found)], names=[*keep, "_q_id", "_q_fp"])
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns - 1)] + [pa.array(found)], names=[*carried.names, "_q_id", "_q_fp"])
 
     ship_package(docs.sparkSession)
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "_q_id long, _q_fp long"
-    return docs.select(*keep, F.col(id_col).cast("long").alias("_q_id"), F.col(text_col).cast("binary").alias("_q_text")).mapInArrow(run, schema)
+    schema = T.StructType([*carried.fields, T.StructField("_q_id", T.LongType()), T.StructField("_q_fp", T.LongType())])
+    prints = docs.select(*carried.inside(), F.col(id_col).cast("long").alias("_q_id"), F.col(text_col).cast("binary").alias("_q_text")).mapInArrow(run, schema)
+    return prints.select(*carried.outside(), "_q_id", "_q_fp")
 
 
 # bit-sliced comparison
@@ -306,7 +309,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     joined = prints.join(near_duplicate_groups(prints, radius), "_q_fp").filter(F.col("_q_id").eqNullSafe(F.col("component_id")))
     # rows with the smallest id are one for each component, unless an id is repeated
     first = joined.groupBy("component_id", "_q_id").agg(F.min("_q_row").alias("_q_row")).select("_q_row")
-    return rows.join(first, "_q_row", "left_semi").select(*columns)
+    return rows.join(first, "_q_row", "left_semi").select(*named(columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
