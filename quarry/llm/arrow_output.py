@@ -213,7 +213,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str | None = None,
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_q_text"))
     ranges = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("_q_text"))
-    return materialise(ranges.mapInArrow(run, "part int, path string, n_docs long, n_tokens long"), "arrow-manifest")
+    written = ranges.mapInArrow(run, "part int, path string, n_docs long, n_tokens long")
+    return materialise(written.repartition(1 + shuffle_partitions(spark) // 1000), "arrow-manifest")  # a row for each file
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
