@@ -14,8 +14,8 @@ carry-save counter of three bits and an overflow bit adds the plane for all 64 r
 words in which all 64 distances exceed the radius are abandoned. A key's links are reduced to a spanning forest at once, so
 dense groups give no more edges than rows.
 
-Components. Edges of all keys are contracted: every vertex joins its smallest neighbour, edges between joined vertices
-disappear, and the rest repeat, which takes few rounds since each key already sent stars.
+Components. Edges of all keys are contracted: every vertex follows its smallest neighbour to the end of that chain, by
+doubling, edges between joined vertices disappear, and the rest repeat. Stars and chains of any length end in few rounds.
 
 Cases: null texts count as empty; texts without words have fingerprint zero and link like any other; texts of fewer than
 four words have their whole sequence as the only shingle; null ids never name a component unless all its ids are null;
@@ -277,7 +277,7 @@ def components(edges: DataFrame) -> DataFrame:
     assigned = both.withColumn("root", F.col("vertex"))
     while not current.isEmpty():
         around = current.union(current.select("_q_b", "_q_a"))
-        least = materialise(around.groupBy("_q_a").agg(F.least(F.min("_q_b"), F.col("_q_a")).alias("_q_least")), "components-least")
+        least = _to_the_end(materialise(around.groupBy("_q_a").agg(F.least(F.min("_q_b"), F.col("_q_a")).alias("_q_least")), "components-least"))
         assigned = materialise(assigned.join(least, assigned["root"] == least["_q_a"], "left").select("vertex", F.coalesce("_q_least", "root").alias("root")), "components-roots")
         other = least.select(F.col("_q_a").alias("_q_x"), F.col("_q_least").alias("_q_y"))
         moved = current.join(least, "_q_a").select("_q_least", "_q_b").join(other, F.col("_q_b") == F.col("_q_x")).select(F.col("_q_least").alias("_q_a"), F.col("_q_y").alias("_q_b"))
@@ -285,6 +285,17 @@ def components(edges: DataFrame) -> DataFrame:
     return assigned
 
 
+def _to_the_end(least: DataFrame) -> DataFrame:
+    """Follow each vertex's smallest neighbour to that one's and so on, doubling the way each time, so chains take few rounds."""
+    while True:
+        up = least.select(F.col("_q_a").alias("_q_x"), F.col("_q_least").alias("_q_y"))
+        further = least.join(up, least["_q_least"] == up["_q_x"]).select("_q_a", F.col("_q_y").alias("_q_least"), (F.col("_q_y") < F.col("_q_least")).alias("_q_moved"))
+        further = materialise(further, "components-least")
+        least = further.select("_q_a", "_q_least")
+        if further.filter("_q_moved").isEmpty():
+            return least
+
+
 def near_duplicate_groups(prints: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """_q_fp, component_id for every different fingerprint of ``prints`` (_q_id, _q_fp): the smallest id of its component."""
     different = materialise(prints.groupBy("_q_fp").agg(F.min("_q_id").alias("_q_least_id")), "simhash-different")
