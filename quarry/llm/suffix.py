@@ -315,7 +315,8 @@ def remove_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     null = F.col(id_col).isNull().cast("long")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("dk"), F.xxhash64(text).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(null).alias("tk"), text.alias("text"))
     places = materialise(rows.mapInArrow(lambda b: _triggers_of(b, rule), "dk long, tk long, t int, first int, key long"), "suffix-triggers")
-    often = places.groupBy("key").agg(F.count(F.lit(1)).alias("_q_n")).filter("_q_n > 1").select(F.col("key").alias("_q_key"), (F.col("_q_n") > rule.hot).alias("hot"))
+    # written, so that the join deals both sides out anew and can split a hot key
+    often = materialise(places.groupBy("key").agg(F.count(F.lit(1)).alias("_q_n")).filter("_q_n > 1").select(F.col("key").alias("_q_key"), (F.col("_q_n") > rule.hot).alias("hot")), "suffix-keys")
     candidates = places.join(often, places["key"] == often["_q_key"]).select("dk", "tk", F.struct("t", "first", "hot").alias("one"))
     listed = candidates.groupBy("dk", "tk").agg(F.collect_set("one").alias("found"))
     dealt = rows.repartition(shuffle_partitions(spark), "dk", "tk")
