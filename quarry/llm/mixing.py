@@ -37,7 +37,7 @@ MOST = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix"
 #: Rows that a hash bucket of a source's stream, and slots that a chunk of the schedule, are planned for.
-BUCKET_ROWS, CHUNK_SLOTS = 20_000, 1 << 14
+BUCKET_ROWS, CHUNK_SLOTS = 2_000, 1 << 14
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
