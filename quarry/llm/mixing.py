@@ -82,7 +82,8 @@ def schedule(targets: DataFrame, total_words: int, block: int = BLOCK) -> DataFr
     """source, slot, rank (of the slot in its source) for every slot that takes a block; rows of the table of sources meet slots by a range of points."""
     spark = targets.sparkSession
     slots = max(1, math.ceil(total_words / block))
-    grid = 1024  # points fall into equal cells; a source is listed for each cell that its stretch touches
+    # points fall into equal cells; a source is listed for each cell that its stretch touches, and cells outnumber sources
+    grid = max(1024, 4 * targets.count())
     order = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("source"))
     upto = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum("target").over(Window.partitionBy(F.lit(0)))
