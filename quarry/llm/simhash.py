@@ -297,12 +297,13 @@ def _to_the_end(least: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(prints: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """_q_fp, component_id for every different fingerprint of ``prints`` (_q_id, _q_fp): the smallest id of its component."""
+    """_q_fp, _q_root, component_id for every different fingerprint of ``prints`` (_q_id, _q_fp): a fingerprint that stands for
+    its component and no other, and the smallest id of the component."""
     different = materialise(prints.groupBy("_q_fp").agg(F.min("_q_id").alias("_q_least_id")), "simhash-different")
     roots = components(links(different.select("_q_fp"), different.count(), radius, key_rows, split_rows))
     rooted = different.join(roots, different["_q_fp"] == roots["vertex"], "left").select("_q_fp", "_q_least_id", F.coalesce("root", "_q_fp").alias("_q_root"))
     least = rooted.groupBy("_q_root").agg(F.min("_q_least_id").alias("component_id"))
-    return rooted.join(least, "_q_root").select("_q_fp", "component_id")
+    return rooted.join(least, "_q_root").select("_q_fp", "_q_root", "component_id")
 
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -313,13 +314,14 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, with all columns of ``docs``: the row with the smallest id, the first of repeated ones."""
+    """One row of each component, with all columns of ``docs``: the row with the smallest id, the first of repeated ones; a row
+    without an id stays only where its component has no id at all."""
     columns = docs.columns
     rows = materialise(docs.withColumn("_q_row", F.monotonically_increasing_id()), "simhash-rows")
     prints = materialise(fingerprints(rows, ("_q_row",)), "simhash-prints")
     joined = prints.join(near_duplicate_groups(prints, radius), "_q_fp").filter(F.col("_q_id").eqNullSafe(F.col("component_id")))
-    # rows with the smallest id are one for each component, unless an id is repeated
-    first = joined.groupBy("component_id", "_q_id").agg(F.min("_q_row").alias("_q_row")).select("_q_row")
+    # components are told apart by their root, as several may have the same smallest id or none
+    first = joined.groupBy("_q_root").agg(F.min("_q_row").alias("_q_row")).select("_q_row")
     return rows.join(first, "_q_row", "left_semi").select(*named(columns))
 
 

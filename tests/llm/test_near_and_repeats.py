@@ -119,6 +119,16 @@ def test_simhash_query_and_rows_that_stay(spark):
     assert sorted(x.doc_id for x in left.collect()) == sorted(set(least.values())) and left.columns == ["doc_id", "text", "component_id"]
 
 
+def test_unlike_rows_without_ids_or_with_one_id_stay(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randrange(90)) for _ in range(80)) for _ in range(9)]
+    rows = [*texts, texts[0], texts[6]]
+    ids = [None, None, None, 7, 7, 7, 5, None, 9, None, None]
+    left = simhash.drop_near_duplicates(frame(spark, rows, ids)).collect()
+    assert sorted(x.text for x in left) == sorted(texts)
+    assert {x.text: x.doc_id for x in left} == dict(zip(texts, ids, strict=False))
+
+
 def repeats_by_hand(texts, n):
     count = collections.Counter(t[p : p + n] for t in texts for p in range(len(t) - n + 1))
     found = []
