@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact_dedup, mixing, quality, simhash
+from quarry.llm import bpe, exact_dedup, mixing, quality, similar
 from quarry.llm.common import materialise, read_table
 
 
@@ -27,8 +27,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One row of each group of near duplicates stays: texts at least 0.8 similar in their five-word shingles, and what these lead to."""
+    return similar.drop_similar(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
