@@ -215,6 +215,7 @@ def _aggregates() -> dict[str, tuple[Build, str]]:
         "group_null": o(Q().group("status").metrics(rows), "select status, count(*) as rows from ORDERS group by 1"),
         "group_only": o(Q().group("status", "o_orderpriority"), "select distinct status, o_orderpriority from ORDERS"),
         "group_time": (_reduced(events, query(LTE("user_id", 20)).group("ts").metrics(rows)), f"select {_SECOND} as ts, count(*) as rows from events where user_id <= 20 group by 1"),
+        "group_time_whole": (_reduced(events, Q().group("ts").metrics(rows)), f"select {_SECOND} as ts, count(*) as rows from events group by 1"),
         "count_distinct_grouped": o(Q().group("o_orderpriority").metrics(COUNT(DISTINCT("o_custkey")).AS("n"), rows), "select o_orderpriority, count(distinct o_custkey) as n, count(*) as rows from ORDERS group by 1"),
         "having_cmp": o(Q().group("o_custkey").metrics(rows).having(GTE(OUT("rows"), 15)), "select o_custkey, count(*) as rows from ORDERS group by 1 having count(*) >= 15"),
         "having_in": o(Q().group("o_custkey").metrics(rows).having(IN(OUT("rows"), [3, 5.0, 7.5])), "select o_custkey, count(*) as rows from ORDERS group by 1 having count(*) in (3, 5)"),

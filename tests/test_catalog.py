@@ -21,6 +21,13 @@ def duck():
     return con
 
 
+def test_time_groups_hold_every_event(spark):
+    """On tables in which user ids go beyond those that group_time selects."""
+    data = "/root/testdata/sf0.01"
+    got = QUERIES["group_time_whole"](spark, data).agg({"rows": "sum"}).first()[0]
+    assert got == spark.read.parquet(f"{data}/events.parquet").count()
+
+
 def plain(value):
     return round(value, 9) if isinstance(value, float) and math.isfinite(value) else value
 
