@@ -9,7 +9,8 @@ a task that runs again replaces its files by equal ones.
 Tokenizing goes through the tokenizers library, word by word: neither its normalizer nor its pre-splitting pattern joins
 anything across white space, so a text's ids are those of its words in a row. A single mark beside letters or digits is a
 match of its own and may be parted from them too. Words are looked up in a bounded table, and those not in it are encoded
-together. A text with unusual white space, or a letter whose lower case depends on others, goes to the library as a whole.
+together. A text with unusual white space, a letter whose lower case depends on others, or what may open a special token
+goes to the library as a whole.
 
 Cases: null and empty texts have the end id only; null doc_ids come first; rows with the same id follow one another, in
 order of a hash of their texts; an empty table writes empty files. Ids of up to 16 bits are stored in 16 bits.
@@ -77,7 +78,8 @@ class WordTokenizer:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The packed ids of each text, without an end id."""
-        split = [None if t and _UNUSUAL.search(t) else _words(t or "") for t in texts]
+        normal = [unicodedata.normalize("NFC", t or "") for t in texts]
+        split = [None if _UNUSUAL.search(t) or "<|" in t else _words(t) for t in normal]
         new = set().union(*(words for words in split if words)) - self.words.keys()
         if len(self.words) + len(new) > WORDS:  # words of the table before last are forgotten
             self.words, self.before = {}, self.words
@@ -89,19 +91,20 @@ class WordTokenizer:
         return [self.whole(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
 
     def _learn(self, new: set[str]) -> None:
-        """Put words into the table. Words of letters are encoded together: each ends in its only token with an end mark."""
-        letters = [w for w in new if w.isalpha()]
+        """Put words into the table. Words of letters are encoded together: each ends in its only token with an end mark. Some
+        letters' normal form is a letter and a combining mark, at which the pattern splits; words with these go to the library."""
+        letters = [w for w in new if w.isalpha() and unicodedata.is_normalized("NFC", w)]
         width = self.type.itemsize
         for i in range(0, len(letters), TOGETHER):
             part = letters[i : i + TOGETHER]
-            ids = np.array(self.letters.encode(unicodedata.normalize("NFC", " ".join(part)), add_special_tokens=False).ids, self.type)
+            ids = np.array(self.letters.encode(" ".join(part), add_special_tokens=False).ids, self.type)
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
             packed = ids.tobytes()
             if len(stops) == len(part):
                 self.words.update((w, packed[a:z]) for w, a, z in zip(part, [0, *stops], stops, strict=False))
             else:
                 self.words.update((w, self.whole(w)) for w in part)
-        self.words.update((w, self.whole(w)) for w in new if not w.isalpha())
+        self.words.update((w, self.whole(w)) for w in new.difference(letters))
 
 
 def _words(text: str) -> list[str]:

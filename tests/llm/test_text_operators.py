@@ -282,6 +282,13 @@ def test_the_field_finds_what_the_base_misses():
         assert pii.find_spans(clean, weights) == ([], [])
 
 
+def test_letters_that_decompose_and_special_tokens():
+    coder = arrow_output.WordTokenizer(arrow_output.default_tokenizer())
+    special = next(iter(coder.library.get_added_tokens_decoder().values())).content
+    texts = ["\u09b9\u09df", "\u0932\u095c\u0915", "\ufb2a\ufb35", "e\u0301t\u00e9 A\u030a I\u0307x", f"end{special} Start. {special}", "a\u037e b"]
+    assert coder.encode(texts) == [coder.whole(t) for t in texts]
+
+
 def test_pii_query(spark):
     texts = ["x@y.zz and é 1.2.3.4", None, "", "call (555) 123-4567 now", "1 2 " * 20_000]
     got = {r.doc_id: r for r in pii.find_pii(docs(spark, texts)).collect()}
