@@ -104,11 +104,13 @@ _GROUP = re.compile(r"[0-9]+")
 _WRITTEN = re.compile(
     r"[A-Za-z0-9._%+-]+[\x20]?(?:@|\[at\]|\(at\)|\x20at\x20)[\x20]?[A-Za-z0-9-]+(?:[\x20]?(?:\.|\[dot\]|\(dot\)|\x20dot\x20)[\x20]?[A-Za-z0-9-]+)+", re.IGNORECASE
 )
-_WRITTEN_HINT = re.compile(r"@|\[at\]|\(at\)|\x20at\x20(?=.{1,60}dot)", re.IGNORECASE)
+_WRITTEN_HINT = re.compile(r"@|\[at\]|\(at\)|\x20at\x20\x20?[A-Za-z0-9-]+\x20?(?:\.|\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]", re.IGNORECASE)
+#: A word, at and a host or the end of a sentence, as prose has them.
+_PROSE = re.compile(r"[A-Za-z-]+\x20at\x20[^\[(]*\.|.*\x20at\x20.*\.\x20", re.IGNORECASE)
 _JOINER = re.compile(r"[\x20]?(?:@|\[at\]|\(at\)|\x20at\x20|\.|\[dot\]|\(dot\)|\x20dot\x20)[\x20]?", re.IGNORECASE)
 
 Unit = tuple[int, int]
-FEATURES = 34
+FEATURES = 35
 
 
 def sequences(text: str, taken: list[Span]) -> Iterator[list[Unit]]:
@@ -122,7 +124,7 @@ def sequences(text: str, taken: list[Span]) -> Iterator[list[Unit]]:
     for m in _RUN.finditer(free):
         if m.end() - m.start() >= 7:
             groups = [(g.start() + m.start(), g.end() + m.start()) for g in _GROUP.finditer(m.group())]
-            if sum(z - a for a, z in groups) >= 7:
+            if sum(z - a for a, z in groups) >= 7 or _four_small(free, groups):
                 yield [(_opened(free, a, m.start()), z) for a, z in groups]
     if _WRITTEN_HINT.search(free):
         for m in _WRITTEN.finditer(free):
@@ -130,6 +132,12 @@ def sequences(text: str, taken: list[Span]) -> Iterator[list[Unit]]:
             yield list(zip([m.start(), *(z for _, z in cuts)], [*(a for a, _ in cuts), m.end()], strict=True))
 
 
+def _four_small(text: str, groups: list[Unit]) -> bool:
+    """Whether four groups in a row could be an address, however few digits these have."""
+    small = [_small(text[a:z]) for a, z in groups]
+    return any(all(small[i : i + 4]) for i in range(len(small) - 3))
+
+
 def _opened(text: str, start: int, least: int) -> int:
     """A group's start with the plus sign and opening bracket right before it."""
     while start > least and text[start - 1] in "+(":
@@ -165,6 +173,7 @@ def span_features(text: str, start: int, end: int, units: int) -> np.ndarray:
     f[31] = span[:1] == "0" and span[:2] != "00"
     f[32] = bool(re.search(r"[A-Za-z]", span)) and not has_at
     f[33] = len(parts) == 4 and not all(map(_small, parts))
+    f[34] = has_at and bool(_PROSE.match(span))
     return f
 
 
@@ -248,19 +257,21 @@ def made_examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[S
         return sep.join(x[i : i + 4] for i in range(0, len(x), 4))
 
     def entity() -> tuple[str, str]:
-        pick = int(r.integers(0, 12))
-        ip = [str(x) for x in r.integers(1, 256, 4)]
+        pick = int(r.integers(0, 15))
+        ip, low = [str(x) for x in r.integers(1, 256, 4)], [str(x) for x in r.integers(0, 20, 4)]
         return [
             (f"({d(3)}) {d(3)}-{d(4)}", "phone"), (f"{d(3)}-{d(3)}-{d(4)}", "phone"), (f"+{r.integers(1, 99)} ({d(3)}) {d(3)}-{d(4)}", "phone"), (f"{d(3)}.{d(3)}.{d(4)}", "phone"),
             (f"{d(3)} {d(3)} {d(4)}", "phone"), (fours(card(16), "."), "card"), (fours(card(16), "/"), "card"), ("[.]".join(ip), "ip"), (" . ".join(ip), "ip"),
             (f"{word()}.{word()}[at]{word()}.com", "email"), (f"{word()}{d(2)} (at) {word()} dot org", "email"), (f"{word()} at {word()} dot com", "email"),
+            (f"{word()}.{word()} at {word()}.com", "email"), (f"{word()}{d(2)} at {word()}.org", "email"), ("[.]".join(low), "ip"),
         ][pick]
 
     def other() -> str:
-        pick = int(r.integers(0, 12))
+        pick = int(r.integers(0, 16))
         return [
             f"{r.integers(1900, 2100)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{r.integers(1900, 2100)}", f"version {d(1)}.{d(1)}.{d(2)}.{d(4)}", f"${d(3)},{d(3)}.{d(2)}", d(int(r.integers(7, 14))), d(int(r.integers(17, 40))),
             f"{d(4)} {d(4)}", f"{d(5)}-{d(4)}", f"{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{word()}{d(7)}{word()}", f"{d(3)} {d(2)} {d(1)} {d(5)} {d(2)}", f"{d(4)}.{d(4)}.{d(3)}.{d(4)}",
+            f"{word()} at {word()}. {word()}", f"{word()} at {d(1)}.{d(2)}", f"{d(1)}-{d(1)}-{d(2)}-{d(1)}", f"{d(1)} {d(1)} {d(2)} {d(1)}",
         ][pick]
 
     made = []

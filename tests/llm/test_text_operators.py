@@ -282,6 +282,15 @@ def test_the_field_finds_what_the_base_misses():
         assert pii.find_spans(clean, weights) == ([], [])
 
 
+@pytest.mark.parametrize("text, span, kind", [("write to john.smith at example.com today", "john.smith at example.com", "email"), ("host 10[.]0[.]0[.]1 answered", "10[.]0[.]0[.]1", "ip"), ("ask 8[.]8[.]8[.]8 first", "8[.]8[.]8[.]8", "ip")])
+def test_forms_reach_the_field_whatever_is_near(text, span, kind):
+    want = (text.index(span), text.index(span) + len(span), kind)
+    for whole in (text, text + " follow @news"):
+        assert want in pii.find_spans(whole, pii.trained())[1]
+    for clean in ("we were at home. The dog slept", "he stayed at work. Then it rained", "1-2-3-4", "items 1 2 3 4 and so on", "sold at 3.50 each"):
+        assert pii.find_spans(clean, pii.trained()) == ([], [])
+
+
 def test_letters_that_decompose_and_special_tokens():
     coder = arrow_output.WordTokenizer(arrow_output.default_tokenizer())
     special = next(iter(coder.library.get_added_tokens_decoder().values())).content
