@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,9 +41,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master: {master})")
         root = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -56,7 +60,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors and is smaller than checkpoint()."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._quarry_path = path
+    return written
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` wrote, where nothing that is still to be computed reads them."""
+    for df in written:
+        path = getattr(df, "_quarry_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            df._quarry_path = None
 
 
 def named(columns: Iterable[str]) -> list[Column]:
@@ -64,6 +81,14 @@ def named(columns: Iterable[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Carried:
     """Columns that pass through a Python operator under plain names, since it takes no others, and get their own back."""
 

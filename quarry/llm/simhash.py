@@ -29,11 +29,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Carried, materialise, named, read_table, ship_package, shuffle_partitions, slices
+from .common import Carried, materialise, named, read_table, ship_package, shuffle_partitions, slices, unused
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Rows that a key is planned to hold, and rows from which a key is cut into parts.
@@ -104,31 +104,36 @@ def bit_planes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_words(queries: np.ndarray, planes: np.ndarray, filled: np.ndarray, query_of: np.ndarray, word_of: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Compare queries with words of 64 rows, pair by pair. Pairs with a row within the radius (4 at most), and which rows those are."""
-    zero = np.zeros(len(query_of), np.uint64)
-    ones, twos, fours, over = zero, zero.copy(), zero.copy(), ~filled[word_of]
-    for first in range(0, 64, PLANES_AT_ONCE):
-        asked = queries[query_of]
-        for plane in range(first, first + PLANES_AT_ONCE):
-            mask = (np.uint64(0) - ((asked >> np.uint64(plane)) & np.uint64(1))) ^ planes[plane][word_of]
-            carry = ones & mask
-            ones = ones ^ mask
-            more = twos & carry
-            twos = twos ^ carry
-            over = over | (fours & more)
-            fours = fours ^ more
-        beyond = over | _above(ones, twos, fours, radius)
-        live = beyond != _ALL
+    """Compare queries (one row of numbers for each 64 planes) with words of 64 rows, pair by pair. Pairs with a row within the radius, and which rows those are."""
+    queries = np.atleast_2d(queries)
+    counter = [np.zeros(len(query_of), np.uint64) for _ in range(radius.bit_length())]
+    over = ~filled[word_of]
+    for first in range(0, len(planes), PLANES_AT_ONCE):
+        asked = queries[first >> 6][query_of] >> np.uint64(first & 63)
+        for plane in range(PLANES_AT_ONCE):
+            carry = (np.uint64(0) - ((asked >> np.uint64(plane)) & np.uint64(1))) ^ planes[first + plane][word_of]
+            for k, held in enumerate(counter):
+                counter[k] = held ^ carry
+                carry &= held
+            over |= carry
+        if first + PLANES_AT_ONCE <= radius:
+            continue  # nothing can be beyond the radius yet
+        live = (over | _above(counter, radius)) != _ALL
         if not live.all():
-            query_of, word_of, ones, twos, fours, over = (x[live] for x in (query_of, word_of, ones, twos, fours, over))
-    return query_of, word_of, ~(over | _above(ones, twos, fours, radius))
-
-
-def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Where the three-bit counter exceeds the radius."""
-    out = np.zeros_like(ones)
-    for value in range(radius + 1, 8):
-        out |= (ones if value & 1 else ~ones) & (twos if value & 2 else ~twos) & (fours if value & 4 else ~fours)
+            query_of, word_of, over, *counter = (x[live] for x in (query_of, word_of, over, *counter))
+    return query_of, word_of, ~(over | _above(counter, radius))
+
+
+def _above(counter: Sequence[np.ndarray], radius: int) -> np.ndarray:
+    """Where the counter, lowest bit first, exceeds the radius."""
+    out = np.zeros_like(counter[0]) if counter else np.zeros(1, np.uint64)
+    equal = ~out
+    for k in range(len(counter) - 1, -1, -1):
+        if radius >> k & 1:
+            equal &= counter[k]
+        else:
+            out |= equal & counter[k]
+            equal &= ~counter[k]
     return out
 
 
@@ -255,21 +260,27 @@ def links(different: DataFrame, n: int, radius: int = RADIUS, key_rows: int = KE
     masks = key_masks(pieces_for(n, radius, key_rows), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     listed = different.select("_q_fp", F.posexplode(F.array(*(F.col("_q_fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("_q_kind", "_q_key"))
-    sizes = listed.groupBy("_q_kind", "_q_key").agg(F.count(F.lit(1)).alias("_q_n")).filter(F.col("_q_n") > split_rows)
-    large = materialise(sizes.withColumn("_q_parts", F.ceil(F.col("_q_n") / split_rows).cast("int")).drop("_q_n"), "simhash-large")
-    if large.isEmpty():
-        tasks = listed.withColumn("_q_task", F.col("_q_key"))
-    else:  # a row of part i goes to the tasks (i, j) and (j, i) of every part j
-        marked = listed.join(large, ["_q_kind", "_q_key"], "left")
-        own = F.pmod(F.xxhash64(F.lit(1), "_q_fp"), F.coalesce("_q_parts", F.lit(1))).cast("int")
-        paired = marked.withColumn("_q_own", own).withColumn("_q_other", F.explode(F.sequence(F.lit(0), F.coalesce("_q_parts", F.lit(1)) - 1)))
-        task = F.when(F.col("_q_parts").isNull(), F.col("_q_key")).otherwise(F.xxhash64("_q_key", F.least("_q_own", "_q_other"), F.greatest("_q_own", "_q_other")))
-        tasks = paired.withColumn("_q_task", task)
+    tasks = split_keys(listed, F.col("_q_fp"), split_rows)
     ship_package(spark)
     dealt = tasks.select("_q_kind", "_q_task", "_q_fp").repartition(shuffle_partitions(spark), "_q_kind", "_q_task").sortWithinPartitions("_q_kind", "_q_task")
     return dealt.mapInArrow(lambda batches: _edges_of_keys(batches, radius), "_q_a long, _q_b long")
 
 
+def split_keys(listed: DataFrame, row: Column, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Rows of keys (_q_kind, _q_key) with the task that compares them: the key, or for a key of more than ``split_rows`` rows
+    each pair of its parts, so that any two rows of a key meet in a task."""
+    sizes = listed.groupBy("_q_kind", "_q_key").agg(F.count(F.lit(1)).alias("_q_n")).filter(F.col("_q_n") > split_rows)
+    large = materialise(sizes.withColumn("_q_parts", F.ceil(F.col("_q_n") / split_rows).cast("int")).drop("_q_n"), "simhash-large")
+    if large.isEmpty():
+        return listed.withColumn("_q_task", F.col("_q_key"))
+    # a row of part i goes to the tasks (i, j) and (j, i) of every part j
+    marked = listed.join(large, ["_q_kind", "_q_key"], "left")
+    own = F.pmod(F.xxhash64(F.lit(1), row), F.coalesce("_q_parts", F.lit(1))).cast("int")
+    paired = marked.withColumn("_q_own", own).withColumn("_q_other", F.explode(F.sequence(F.lit(0), F.coalesce("_q_parts", F.lit(1)) - 1)))
+    task = F.when(F.col("_q_parts").isNull(), F.col("_q_key")).otherwise(F.xxhash64("_q_key", F.least("_q_own", "_q_other"), F.greatest("_q_own", "_q_other")))
+    return paired.withColumn("_q_task", task)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """vertex, root for every vertex of the edges (_q_a, _q_b); vertices of one component share the root."""
     current = materialise(edges.filter("_q_a <> _q_b").distinct(), "components-edges")
@@ -302,7 +313,8 @@ def near_duplicate_groups(prints: DataFrame, radius: int = RADIUS, key_rows: int
     different = materialise(prints.groupBy("_q_fp").agg(F.min("_q_id").alias("_q_least_id")), "simhash-different")
     roots = components(links(different.select("_q_fp"), different.count(), radius, key_rows, split_rows))
     rooted = different.join(roots, different["_q_fp"] == roots["vertex"], "left").select("_q_fp", "_q_least_id", F.coalesce("root", "_q_fp").alias("_q_root"))
-    least = rooted.groupBy("_q_root").agg(F.min("_q_least_id").alias("component_id"))
+    # written, so that the join deals both sides out anew and can split a hot root
+    least = materialise(rooted.groupBy("_q_root").agg(F.min("_q_least_id").alias("component_id")), "simhash-least")
     return rooted.join(least, "_q_root").select("_q_fp", "_q_root", "component_id")
 
 
@@ -316,13 +328,13 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component, with all columns of ``docs``: the row with the smallest id, the first of repeated ones; a row
     without an id stays only where its component has no id at all."""
-    columns = docs.columns
-    rows = materialise(docs.withColumn("_q_row", F.monotonically_increasing_id()), "simhash-rows")
-    prints = materialise(fingerprints(rows, ("_q_row",)), "simhash-prints")
+    columns, number = docs.columns, unused(docs, "_q_row")
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
+    prints = materialise(fingerprints(rows, (number,)).withColumnRenamed(number, "_q_row"), "simhash-prints")
     joined = prints.join(near_duplicate_groups(prints, radius), "_q_fp").filter(F.col("_q_id").eqNullSafe(F.col("component_id")))
     # components are told apart by their root, as several may have the same smallest id or none
-    first = joined.groupBy("_q_root").agg(F.min("_q_row").alias("_q_row")).select("_q_row")
-    return rows.join(first, "_q_row", "left_semi").select(*named(columns))
+    first = joined.groupBy("_q_root").agg(F.min("_q_row").alias(number)).select(number)
+    return rows.join(first, number, "left_semi").select(*named(columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,30 @@
-"""Rows of a corpus whose texts share most of their word shingles; the near-duplicate stage of the pipeline.
+"""SimHash near-duplicates at a given similarity of word shingles; the near-duplicate stage of the pipeline.
 
 Two texts are linked where the Jaccard similarity of their sets of five-word shingles (words in ASCII lower case) is 0.8 or
-more. Links are followed to whole components, and one row of each stays.
+more. Links are followed to whole components, and one row of each stays. Fingerprints find the pairs, shingles decide them.
 
-Candidates. MinHash: ``BANDS`` keys of ``BAND_ROWS`` least values each. Texts at similarity s share a key with probability
-1 - (1 - s**4)**20: 0.99997 at 0.8 and more above. Every candidate is checked on the shingles themselves.
+Fingerprints. ``WORDS`` times 64 SimHash bits over the different shingles of a text. A bit differs with probability
+angle / pi, and sets at similarity 0.8 are an angle of arccos(8/9) apart, so they differ in 39 of 256 bits on average;
+``RADIUS`` lies more than two standard deviations above.
 
-Pairs. Rows that share a key are first compared with one of them, chosen by a hash, in ``STARS`` rounds; what is then in one
-component needs no more comparing, so groups of copies cost pairs in proportion to their rows. At last all pairs that share
-a key and are not in one component are compared; no key is capped.
+Candidates. A key is a choice of the fingerprint's bits. With the number of rows the number of bits grows, so that a key
+holds about ``KEY_ROWS`` rows, and with the bits the number of keys, so that texts at similarity 0.8 share one with
+probability ``RECALL`` (more similar ones with more). The rows of a key are compared by the bit-sliced counters of
+``simhash``; no key is capped, and large ones are dealt out in pairs of parts. Recall is a matter of chance and no less at
+any size; the README has what was measured.
+
+Pairs. In ``LEADERS`` rounds each row meets only the first row of another component within the radius, so groups of copies
+cost pairs in proportion to their rows. At last all pairs within the radius that are not in one component are checked.
 
 Cases: null texts count as empty; texts without words are equal to each other; texts of fewer than five words have their
-whole sequence as the only shingle; components are told apart by a row of their own, so ids may be null or repeated.
+whole sequence as the only shingle; components are told apart by a row of their own, so ids may be null or repeated; any
+other column passes through, whatever its name.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +32,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, named, ship_package, slices
-from .simhash import components
+from .common import discard, materialise, named, ship_package, shuffle_partitions, slices, unused
+from .simhash import SPLIT_ROWS, bit_planes, components, near_words, split_keys
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
-BANDS, BAND_ROWS, STARS = 20, 4, 2
+#: 64-bit words of a fingerprint, and differing bits up to which shingles are looked at.
+WORDS, RADIUS = 4, 52
+#: Rows that a key is planned to hold, and the planned share of pairs at LEAST that meet in a key.
+KEY_ROWS, RECALL = 512, 0.99
+#: Rounds in which rows meet only the first row within the radius.
+LEADERS = 3
+#: Rows of a key up to which all pairs are compared at once, and words that one comparison takes.
+SMALL, PAIRS_AT_ONCE = 4096, 1 << 15
 #: Row numbers that are broadcast rather than joined by a shuffle of the texts.
 BROADCAST_ROWS = 1 << 18
-#: Shingle hashes that are turned into least values at once.
+#: Shingle hashes that are counted at once.
 HASHES_AT_ONCE = 1 << 12
 
-_TURNS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) << np.uint64(1) | np.uint64(1)
+PRINTS = tuple(f"_q_p{k}" for k in range(WORDS))
+_RANDOM = np.random.default_rng(SEED)
+_SALT = _RANDOM.integers(0, 1 << 63, (WORDS, 1), np.uint64)
+_TURN = _RANDOM.integers(0, 1 << 62, (2, WORDS, 1), np.uint64) << np.uint64(1) | np.uint64(1)
+_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+# shingles and fingerprints
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -51,15 +74,16 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.array([digest(joined[a : z - 1], SEED) for a, z in zip(starts, ends[SHINGLE - 1 :], strict=True)], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A signed key for each band of a text's least values."""
-    import xxhash
-
-    least = np.full(len(_TURNS), np.uint64(0xFFFFFFFFFFFFFFFF))
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` fingerprint words: a bit is set where more than half of the hashes, mixed once for each word, have it."""
+    counts = np.zeros((WORDS, 64), np.int64)
     for i in range(0, len(hashes), HASHES_AT_ONCE):
-        np.minimum(least, (_TURNS * hashes[i : i + HASHES_AT_ONCE]).min(1), out=least)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+        x = (hashes[i : i + HASHES_AT_ONCE] ^ _SALT) * _TURN[0]
+        x ^= x >> np.uint64(29)
+        x *= _TURN[1]
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").reshape(WORDS, -1, 64).sum(1, dtype=np.int64)
+    return np.where(counts * 2 > len(hashes), _BIT, np.uint64(0)).sum(1, dtype=np.uint64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -71,17 +95,158 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (few + many - common)
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """_q_row and _q_keys of every row of ``rows`` (_q_row, _q_text)."""
+def printed(rows: DataFrame) -> DataFrame:
+    """_q_row and the fingerprint words (as signed longs) of every row of ``rows`` (_q_row, _q_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_q_text"):
-                keys = [band_keys(shingles(x or b"")) for x in part.column("_q_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["_q_row", "_q_keys"])
+                prints = np.array([wide_print(shingles(x or b"")) for x in part.column("_q_text").to_pylist()], np.uint64).reshape(-1, WORDS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(prints[:, k]) for k in range(WORDS))], names=["_q_row", *PRINTS])
 
     ship_package(rows.sparkSession)
-    return rows.mapInArrow(run, "_q_row long, _q_keys array<long>")
+    return rows.mapInArrow(run, f"_q_row long, {', '.join(f'{p} long' for p in PRINTS)}")
+
+
+# keys
+
+
+def key_masks(n: int, key_rows: int = KEY_ROWS, recall: float = RECALL) -> list[list[int]]:
+    """For each key of a corpus of ``n`` rows, masks of the fingerprint's words that choose its bits."""
+    bits = min(64, max(0, math.ceil(math.log2(max(1, n) / key_rows))))
+    agree = (1 - math.acos(2 * LEAST / (1 + LEAST)) / math.pi) ** bits
+    times = 1 if agree >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    random, masks = np.random.default_rng(SEED), []
+    for _ in range(times):
+        chosen = [0] * WORDS
+        for place in random.permutation(64 * WORDS)[:bits].tolist():
+            chosen[place >> 6] |= 1 << (place & 63)
+        masks.append([m - (1 << 64) if m >> 63 else m for m in chosen])
+    return masks
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Key sizes, labels, rows and fingerprints (words by rows) of some keys at a time, from rows sorted by key."""
+    held: list[np.ndarray] = []
+    waiting = 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)]))
+            waiting += batch.num_rows
+            if waiting < SMALL or (held[-1][:2, -1] == held[0][:2, 0]).all():
+                continue
+        if not held:
+            return
+        data = np.concatenate(held, axis=1)
+        change = np.flatnonzero((data[:2, 1:] != data[:2, :-1]).any(0)) + 1
+        cut = data.shape[1] if batch is None else int(change[-1])
+        held, waiting = ([data[:, cut:]], data.shape[1] - cut) if cut < data.shape[1] else ([], 0)
+        if cut:
+            sizes = np.diff(np.concatenate(([0], change[change < cut], [cut])))
+            yield sizes, data[2, :cut], data[3, :cut], data[4:, :cut].view(np.uint64)
+
+
+def _planes(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = [bit_planes(word) for word in prints]
+    return np.concatenate([p for p, _ in both]), both[0][1]
+
+
+def pairs_within(prints: np.ndarray, sizes: np.ndarray, labels: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (a before b) within the radius, with different labels and in one key; rows come by key and label."""
+    n, starts = len(labels), np.cumsum(sizes) - sizes
+    words = -(-sizes // 64)
+    shift = np.cumsum(words) * 64 - words * 64 - starts
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(n) + shift[key]
+    padded = np.zeros((len(prints), int(words.sum()) * 64), np.uint64)
+    padded[:, place] = prints
+    planes, _ = _planes(padded)
+    row_at = np.zeros(padded.shape[1], np.int64)
+    row_at[place] = np.arange(n)
+    filled = np.packbits(np.bincount(place, minlength=padded.shape[1]).astype(bool).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).ravel()
+    # a row is compared with those after the last one of its label
+    last = np.flatnonzero(np.concatenate(((labels[1:] != labels[:-1]) | (key[1:] != key[:-1]), [True])))
+    after = last[np.searchsorted(last, np.arange(n))] + 1 + shift[key]
+    first, end = after >> 6, np.cumsum(words)[key]
+    each = np.maximum(end - first, 0)
+    upto = np.concatenate(([0], np.cumsum(each)))
+    at = 0
+    while at < n:
+        z = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS_AT_ONCE, "right")) - 1)
+        own = each[at:z]
+        q = np.repeat(np.arange(at, z), own)
+        w = np.arange(len(q)) - np.repeat(upto[at:z] - upto[at], own) + first[q]
+        q, w, bits = near_words(prints, planes, filled, q, w, radius)
+        bits = bits & np.where(w == first[q], _ALL << (after[q] & 63).astype(np.uint64), _ALL)
+        hit, bit = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")) if len(bits) else (np.zeros(0, int), np.zeros(0, int))
+        if len(hit):
+            yield q[hit], row_at[w[hit] * 64 + bit]
+        at = z
+
+
+def leaders(prints: np.ndarray, labels: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Of one key: the first row of a label takes the free rows within the radius, and so on with the first row left free."""
+    planes, free = _planes(prints)
+    edges, n = [], len(labels)
+    ends = np.concatenate((np.flatnonzero(labels[1:] != labels[:-1]) + 1, [n]))
+    start = 0
+    for end in ends.tolist():
+        seed = next((i for i in range(start, end) if free[i >> 6] >> np.uint64(i & 63) & np.uint64(1)), None)
+        for i in range(start, end):
+            free[i >> 6] &= ~_BIT[i & 63]
+        start = end
+        if seed is None:
+            continue
+        words = np.flatnonzero(free)
+        _, w, bits = near_words(prints[:, seed : seed + 1], planes, free, np.zeros(len(words), np.int64), words, radius)
+        free[w] &= ~bits
+        some, bit = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")) if len(bits) else (np.zeros(0, int), np.zeros(0, int))
+        edges += [(seed, int(k)) for k in w[some] * 64 + bit]
+    return edges
+
+
+def _met_in_keys(batches: Iterator[pa.RecordBatch], every: bool, radius: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows to check; rows that have a neighbour at all are also paired with themselves."""
+    for sizes, labels, rows, prints in _whole_keys(batches):
+        starts = np.cumsum(sizes) - sizes
+        at_once = (sizes > 1) & ((sizes <= SMALL) | every)
+        own = np.flatnonzero(np.repeat(at_once, sizes))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if every:
+            found += ((own[a], own[b]) for a, b in pairs_within(prints[:, own], sizes[at_once], labels[own], radius))
+        elif len(own):
+            least, near = np.full(len(own), len(own)), np.zeros(len(own), bool)
+            for a, b in pairs_within(prints[:, own], sizes[at_once], labels[own], radius):
+                np.minimum.at(least, b, a)
+                near[a] = near[b] = True
+            b = np.flatnonzero(least < len(own))
+            found += [(own[least[b]], own[b]), (own[near], own[near])]
+        if not every:
+            for k in np.flatnonzero(sizes > SMALL):
+                part = slice(int(starts[k]), int(starts[k] + sizes[k]))
+                edges = np.array(leaders(prints[:, part], labels[part], radius), np.int64).reshape(-1, 2) + starts[k]
+                everyone = np.arange(part.start, part.stop)
+                found += [(edges[:, 0], edges[:, 1]), (everyone, everyone)]
+        for a, b in found:
+            for i in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[a[i : i + (1 << 16)]]), pa.array(rows[b[i : i + (1 << 16)]])], names=["_q_a", "_q_b"])
+
+
+def _met(own: DataFrame, masks: list[list[int]], turn: int, every: bool, radius: int, split_rows: int) -> DataFrame:
+    """Pairs (_q_a, _q_b) of the labelled rows ``own`` that are to be checked, and (row, row) for rows with a neighbour. Which row
+    of a key comes first is drawn anew in each turn."""
+    keys = F.array(*(F.xxhash64(F.lit(i), *(F.col(p).bitwiseAND(F.lit(m).cast("long")) for p, m in zip(PRINTS, mask, strict=True) if m)) for i, mask in enumerate(masks)))
+    listed = own.select("_q_label", "_q_row", *PRINTS, F.posexplode(keys).alias("_q_kind", "_q_key"))
+    tasks = split_keys(listed, F.col("_q_row"), split_rows).select("_q_kind", "_q_task", "_q_label", "_q_row", *PRINTS)
+    order = F.xxhash64(F.lit(turn), "_q_label")
+    dealt = tasks.repartition(shuffle_partitions(own.sparkSession), "_q_kind", "_q_task").sortWithinPartitions("_q_kind", "_q_task", order, "_q_label", "_q_row")
+    met = dealt.mapInArrow(lambda batches: _met_in_keys(batches, every, radius), "_q_a long, _q_b long")
+    return met.select(F.least("_q_a", "_q_b").alias("_q_a"), F.greatest("_q_a", "_q_b").alias("_q_b")).distinct()
+
+
+# links and components
 
 
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -109,46 +274,45 @@ def _among(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, "_q_row", how)
 
 
-def similar_components(rows: DataFrame, stars: int = STARS) -> DataFrame:
+def similar_components(rows: DataFrame, rounds: int = LEADERS, key_rows: int = KEY_ROWS, split_rows: int = SPLIT_ROWS, radius: int = RADIUS) -> DataFrame:
     """vertex, root for every row of ``rows`` (_q_row, _q_text) that is similar to another."""
-    keys = materialise(keyed(rows), "similar-keys").select("_q_row", F.explode("_q_keys").alias("_q_key"))
-    shared = keys.groupBy("_q_key").agg(F.count(F.lit(1)).alias("_q_n")).filter("_q_n > 1").select("_q_key")
-    members = materialise(keys.join(shared, "_q_key"), "similar-members")
-    texts = materialise(_among(rows, materialise(members.select("_q_row").distinct(), "similar-rows"), "left_semi"), "similar-texts")
-    labels, edges, tried = None, [], None
-    for turn in range(stars + 1):
-        own = members.withColumn("_q_label", F.col("_q_row"))
+    living = materialise(printed(rows), "similar-prints")
+    masks = key_masks(living.count(), key_rows)
+    labels = texts = tried = links = None
+    for turn in range(rounds + 1):
+        own = living.withColumn("_q_label", F.col("_q_row"))
         if labels is not None:
-            own = members.join(labels, members["_q_row"] == labels["vertex"], "left").select("_q_key", "_q_row", F.coalesce("root", "_q_row").alias("_q_label"))
-        chosen = F.min_by(F.struct("_q_row", "_q_label"), F.xxhash64(F.lit(turn), "_q_row")).alias("_q_star")
-        centres = own.groupBy("_q_key").agg(F.min("_q_label").alias("_q_lo"), F.max("_q_label").alias("_q_hi"), chosen).filter("_q_lo < _q_hi")
-        if turn < stars:
-            met = own.join(centres, "_q_key").filter("_q_label <> _q_star._q_label").select("_q_row", F.col("_q_star._q_row").alias("_q_with"))
-        else:
-            left = own.join(centres.select("_q_key"), "_q_key")
-            right = left.select("_q_key", F.col("_q_row").alias("_q_with"), F.col("_q_label").alias("_q_other_label"))
-            met = left.join(right, "_q_key").filter("_q_label < _q_other_label").select("_q_row", "_q_with")
-        pairs = met.select(F.least("_q_row", "_q_with").alias("_q_a"), F.greatest("_q_row", "_q_with").alias("_q_b")).distinct()
+            own = living.join(labels, living["_q_row"] == labels["vertex"], "left").select("_q_row", *PRINTS, F.coalesce("root", "_q_row").alias("_q_label"))
+        met = materialise(_met(own, masks, turn, turn == rounds, radius, split_rows), "similar-met")
+        if turn == 0 and rounds:  # a row without a neighbour now has none later
+            near = materialise(met.filter("_q_a = _q_b").select(F.col("_q_a").alias("_q_row")), "similar-near")
+            living = materialise(_among(living, near, "left_semi"), "similar-living")
+        if texts is None:
+            chosen = materialise(met.select(F.explode(F.array("_q_a", "_q_b")).alias("_q_row")).distinct(), "similar-rows")
+            texts = materialise(_among(rows, chosen, "left_semi"), "similar-texts")
+        pairs = met.filter("_q_a < _q_b")
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["_q_a", "_q_b"], "left_anti"), "similar-pairs")
+        discard(met)
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.union(pairs)
-        edges.append(materialise(checked(pairs, texts), "similar-edges"))
-        found = edges[0]
-        for more in edges[1:]:
-            found = found.union(more)
-        labels = components(found)
-    return labels if labels is not None else members.select(F.col("_q_row").alias("vertex"), F.col("_q_row").alias("root")).limit(0)
+        found = materialise(checked(pairs, texts), "similar-links")
+        links = found if links is None else links.union(found)
+        labels = components(links)
+    discard(texts)
+    return labels if labels is not None else living.select(F.col("_q_row").alias("vertex"), F.col("_q_row").alias("root")).limit(0)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all columns of ``docs``: the row with the smallest id, the first of repeated ones; a row
     without an id stays only where its component has no id at all."""
-    columns = docs.columns
-    rows = materialise(docs.withColumn("_q_row", F.monotonically_increasing_id()), "similar-all")
-    found = similar_components(rows.select("_q_row", F.col(text_col).cast("binary").alias("_q_text")))
-    placed = _among(rows.select("_q_row", F.col(id_col).cast("long").alias("_q_id")), materialise(found.select(F.col("vertex").alias("_q_row")), "similar-vertices"), "left_semi")
+    columns, number = docs.columns, unused(docs, "_q_row")
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "similar-all")
+    found = similar_components(rows.select(F.col(number).alias("_q_row"), F.col(text_col).cast("binary").alias("_q_text")))
+    members = materialise(found.select(F.col("vertex").alias("_q_row")), "similar-vertices")
+    placed = _among(rows.select(F.col(number).alias("_q_row"), F.col(id_col).cast("long").alias("_q_id")), members, "left_semi")
     placed = placed.join(found, placed["_q_row"] == found["vertex"])
-    stays = placed.groupBy("root").agg(F.min(F.struct(F.col("_q_id").isNull(), "_q_id", "_q_row"))["_q_row"].alias("_q_stays"))
-    goes = placed.join(stays, "root").filter("_q_row <> _q_stays").select("_q_row")
-    return _among(rows, materialise(goes, "similar-gone"), "left_anti").select(*named(columns))
+    # written, so that the join deals both sides out anew and can split a hot root
+    stays = materialise(placed.groupBy("root").agg(F.min(F.struct(F.col("_q_id").isNull(), "_q_id", "_q_row"))["_q_row"].alias("_q_stays")), "similar-stays")
+    goes = materialise(placed.join(stays, "root").filter("_q_row <> _q_stays").select(F.col("_q_row").alias(number)), "similar-gone")
+    return rows.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, number, "left_anti").select(*named(columns))

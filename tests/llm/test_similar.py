@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -43,13 +44,13 @@ def edited(r, text, changes):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_components_by_hand(spark, stars):
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_components_by_hand(spark, rounds):
     r = random.Random(3)
     bases = [" ".join(f"w{r.randrange(3000)}" for _ in range(r.choice([40, 100, 300]))) for _ in range(14)]
     texts = bases + [edited(r, b, k) for b in bases for k in (1, 2, 3)] + ["", None, "a b", "A  b", "a c"]
     rows = spark.createDataFrame([(i, (t or "").encode()) for i, t in enumerate(texts)], "_q_row long, _q_text binary")
-    got = {x.vertex: x.root for x in similar.similar_components(rows, stars).collect()}
+    got = {x.vertex: x.root for x in similar.similar_components(rows, rounds).collect()}
     want = roots([sets(t) for t in texts])
     assert 20 < len(set(want)) < len(texts) - 10
     assert [got.get(i, i) for i in range(len(texts))] == want
@@ -73,14 +74,70 @@ def test_ids_null_or_shared(spark):
 
 
 def test_recall_of_the_keys():
+    """Pairs just above the bound share a key and lie within the radius, at several corpus sizes."""
     r, met = random.Random(7), []
-    for _ in range(400):
+    for _ in range(700):
         base = " ".join(f"w{r.randrange(10**6)}" for _ in range(200))
         other = edited(r, base, 4)
         if 0.8 <= jaccard(sets(base), sets(other)) < 0.85:
-            a, b = (similar.band_keys(similar.shingles(t.encode())) for t in (base, other))
-            met.append(any(x == y for x, y in zip(a, b, strict=True)))
-    assert len(met) > 100 and all(met)
+            a, b = (similar.wide_print(similar.shingles(t.encode())) for t in (base, other))
+            far = [int(x) ^ int(y) for x, y in zip(a, b, strict=True)]
+            near = sum(x.bit_count() for x in far) <= similar.RADIUS
+            met.append([near and any(not any(x & m for x, m in zip(far, mask, strict=True)) for mask in similar.key_masks(n)) for n in (100, 200_000, 10**9)])
+    assert len(met) > 300 and (np.mean(met, axis=0) > 0.96).all()
+
+
+def test_wide_prints_by_hand():
+    r = random.Random(8)
+    for n in (1, 2, 5, 5000):
+        hashes = np.array([r.getrandbits(64) for _ in range(n)], np.uint64)
+        want = []
+        for k in range(similar.WORDS):
+            mixed = []
+            for h in hashes.tolist():
+                x = (h ^ int(similar._SALT[k, 0])) * int(similar._TURN[0, k, 0]) % 2**64
+                x = (x ^ x >> 29) * int(similar._TURN[1, k, 0]) % 2**64
+                mixed.append(x ^ x >> 32)
+            want.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > n))
+        assert similar.wide_print(hashes).tolist() == want
+
+
+def test_pairs_within_a_radius_by_hand():
+    r = np.random.default_rng(9)
+    sizes = np.array([1, 200, 3, 70, 64])
+    key = np.repeat(np.arange(5), sizes)
+    prints = r.integers(0, 1 << 63, (3, len(key)), np.uint64)
+    for _ in range(600):  # near copies of earlier rows
+        a, b = r.integers(0, len(key), 2)
+        prints[:, a] = prints[:, b]
+        prints[r.integers(0, 3), a] ^= np.uint64(int(r.integers(0, 1 << 8)))
+    labels = np.concatenate([np.sort(r.integers(0, max(1, n // 3), n)) for n in sizes.tolist()])
+    distance = lambda i, j: sum((int(x) ^ int(y)).bit_count() for x, y in zip(prints[:, i], prints[:, j], strict=True))
+    near = {(i, j) for j in range(len(key)) for i in range(j) if key[i] == key[j] and labels[i] != labels[j] and distance(i, j) <= 9}
+    got = [p for a, b in similar.pairs_within(prints, sizes, labels, 9) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == near and len(near) > 60
+    part = slice(1, 201)
+    edges = similar.leaders(prints[:, part], labels[part], 9)
+    assert all(labels[1 + a] != labels[1 + b] and distance(1 + a, 1 + b) <= 9 for a, b in edges)
+    edges = similar.leaders(prints[:, part], np.arange(200), 9)  # each row a component of its own
+    reached = {k for edge in edges for k in edge}
+    assert all({i, j} & reached for j in range(200) for i in range(j) if distance(1 + i, 1 + j) <= 9) and edges
+
+
+@pytest.mark.parametrize("key_rows, split_rows", [(4, 1 << 15), (512, 10)])
+def test_small_keys_and_parts_of_keys(spark, key_rows, split_rows):
+    r = random.Random(11)
+    bases = [" ".join(f"w{r.randrange(3000)}" for _ in range(100)) for _ in range(12)]
+    texts = bases + [edited(r, b, 1) for b in bases] * 2
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "_q_row long, _q_text binary")
+    got = {x.vertex: x.root for x in similar.similar_components(rows, key_rows=key_rows, split_rows=split_rows).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == roots([sets(t) for t in texts])
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 5, 6, "x"), (2, "A b c d e f g", 7, 8, "y"), (3, None, 9, 1, "z")], "doc_id long, text string, _q_row int, _Q_ROW_ int, `a.b` string")
+    left = similar.drop_similar(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect()), key=lambda x: x[0]) == [(1, "a b c d e f g", 5, 6, "x"), (3, None, 9, 1, "z")]
 
 
 def test_empty_table(spark):
