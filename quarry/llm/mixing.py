@@ -9,7 +9,8 @@ Schedule. A slot takes one block of ``BLOCK`` words. Slot t has the point frac((
 source's stretch of the cumulative targets; the k-th slot of a source takes the k-th block of the source's words. Slots are
 ranked in chunks (rank in the chunk plus the counts of the chunks before), so no task holds a whole source. Golden-ratio
 points hit every stretch almost in proportion; the few blocks by which a source is over or short at the end are left out or
-appended after the last slot, so each source gives its rounded target exactly.
+appended after the last slot, so each source gives its rounded target exactly. The schedule decides the order of the mix:
+a document's first slot is where its first words are taken, and mixed rows are written in the order of their slots.
 
 Blocks. The documents of a source are shuffled by the MD5 of seed and id and laid end to end; block k covers words
 k * BLOCK to (k + 1) * BLOCK of that stream, and after its end the stream starts again, at most ``MOST`` times. Stream
@@ -17,8 +18,8 @@ positions come from running sums in buckets of the hash. Documents are joined to
 about BLOCK words, so a hot source spreads over many keys.
 
 Cases: null or empty texts have size 0 and are taken 0 times; null sources are one source, last in order; repeated rows are
-documents of their own; an empty table, or one without words, gives targets of 0. The order of input rows has no influence,
-so reruns agree. Only id, text and source are read.
+documents of their own; an empty table, or one without words, gives targets of 0; a document of which nothing is taken has no slot. The order of
+input rows has no influence, so reruns agree. Other columns pass through ``apply_mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, named, read_table, whole_text
+from .common import WORD, materialise, named, read_table, shuffle_partitions, unused, whole_text
 
 #: Words that one slot takes.
 BLOCK = 4096
@@ -127,33 +128,38 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED, id_col: str = "do
     slots = schedule(targets, words, block).join(near, F.col("source").eqNullSafe(F.col("_q_ts")))
     place = F.col("rank") * block
     parts = slots.withColumn("_q_from", place).withColumn("_q_to", F.least(place + block, F.round("target").cast("long"))).filter("_q_to > _q_from")
-    # cut where the stream starts again, then count how often each stretch of the stream is taken
+    # cut where the stream starts again; a lap is one pass over it
     lap = F.explode(F.sequence(F.floor(F.col("_q_from") / F.col("source_size")), F.floor((F.col("_q_to") - 1) / F.col("source_size"))))
     laps = parts.withColumn("_q_lap", lap)
     base = F.col("_q_lap") * F.col("source_size")
-    pieces = laps.select("source", (F.greatest("_q_from", base) - base).alias("_q_a"), (F.least("_q_to", base + F.col("source_size")) - base).alias("_q_z"))
+    pieces = laps.select("source", "slot", "_q_lap", (F.greatest("_q_from", base) - base).alias("_q_a"), (F.least("_q_to", base + F.col("source_size")) - base).alias("_q_z"))
     cell = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / block), F.floor((F.col(z) - 1) / block)))
     pieces = pieces.withColumn("_q_cell", cell("_q_a", "_q_z"))
     edge = F.col("_q_cell") * block
-    cut = pieces.groupBy(F.col("source").alias("_q_ps"), F.col("_q_cell").alias("_q_pc"), F.greatest("_q_a", edge).alias("_q_a"), F.least("_q_z", edge + block).alias("_q_z")).agg(F.count(F.lit(1)).alias("_q_times"))
+    cut = pieces.select(F.col("source").alias("_q_ps"), F.col("_q_cell").alias("_q_pc"), "slot", "_q_lap", F.greatest("_q_a", edge).alias("_q_a"), F.least("_q_z", edge + block).alias("_q_z"))
     spans = streams.filter("size > 0").select("source", "_q_row", F.col("_q_start"), (F.col("_q_start") + F.col("size")).alias("_q_end")).withColumn("_q_cell", cell("_q_start", "_q_end"))
     met = spans.join(cut, F.col("source").eqNullSafe(F.col("_q_ps")) & (F.col("_q_cell") == F.col("_q_pc")))
-    common = F.greatest(F.least("_q_end", "_q_z") - F.greatest("_q_start", "_q_a"), F.lit(0))
-    taken = met.groupBy(F.col("_q_row").alias("_q_tr")).agg(F.sum(common * F.col("_q_times")).cast("long").alias("_q_taken"))
+    met = met.withColumn("_q_common", F.least("_q_end", "_q_z") - F.greatest("_q_start", "_q_a")).filter("_q_common > 0")
+    first = [F.min(F.when(F.col("_q_lap") == k, F.col("slot"))) for k in range(MOST)]
+    taken = met.groupBy(F.col("_q_row").alias("_q_tr")).agg(F.sum("_q_common").cast("long").alias("_q_taken"), F.array(*first).alias("slots"))
     result = streams.join(taken, F.col("_q_row") == F.col("_q_tr"), "left")
-    return result.select("doc_id", "size", "source_size", "target", F.coalesce("_q_taken", F.lit(0)).cast("long").alias("taken"), *(F.col(f"_q_c_{c}").alias(c) for c in carry))
+    return result.select("doc_id", "size", "source_size", "target", F.coalesce("_q_taken", F.lit(0)).cast("long").alias("taken"), "slots", *(F.col(f"_q_c_{c}").alias(c) for c in carry))
 
 
 def apply_mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """The mixed documents: each row as often as its words are taken, rounded to whole copies, so at most MOST times."""
-    numbered = materialise(docs.withColumn("_q_number", F.monotonically_increasing_id()), "mix-documents")
+    """The mixed documents: each row as often as its words are taken, rounded to whole copies, so at most MOST times. Rows come in
+    the order of the slots that take them."""
+    number, copy, slot = unused(docs, "_q_number"), unused(docs, "_q_copy"), unused(docs, "_q_slot")
+    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "mix-documents")
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    copies = mix(numbered, block, seed, carry=("_q_number",)).select(F.col("_q_number"), times.alias("_q_copies")).filter("_q_copies > 0")
-    return numbered.join(copies, "_q_number").withColumn("_q_copy", F.explode(F.sequence(F.lit(1), F.col("_q_copies")))).select(*named(docs.columns))
+    mixed = mix(numbered, block, seed, carry=(number,)).select(number, F.slice("slots", F.lit(1), times).alias(slot)).filter(F.size(slot) > 0)
+    copies = numbered.join(mixed.select(number, F.posexplode(slot).alias(copy, slot)), number)
+    return copies.repartitionByRange(shuffle_partitions(docs.sparkSession), slot, number).sortWithinPartitions(slot, number, copy).select(*named(docs.columns))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents"))
+    mixed = mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_min("slots").alias("first_slot"))
 
 
 OP9_SQL = rf"""
@@ -177,8 +183,20 @@ with sized as (
   select sized.*, source_size, target, cast(round(target) as bigint) as quota,
          cast(coalesce(sum(size) over (partition by sized.source order by k, size rows between unbounded preceding and 1 preceding), 0) as bigint) as start
   from sized join targets on sized.source is not distinct from targets.source
+), mixed as (
+  select *, case when size = 0 then 0 else size * (quota // source_size) + greatest(0, least(size, quota % source_size - start)) end as taken from streams
+), counted as (
+  select cast(greatest(1, ceil(sum(size) / {BLOCK}.0)) as bigint) as slots from sized
+), cumulative as (
+  select source, sum(target) over (order by encode(source) nulls last rows between unbounded preceding and current row) / sum(target) over () as upto from targets where target > 0
+), stretches as (
+  select source, coalesce(lag(upto) over (order by encode(source) nulls last), 0) as a, case when row_number() over (order by encode(source) desc nulls first) = 1 then 2 else upto end as z
+  from cumulative
+), points as (
+  select t, (t + 1) * {GOLDEN:.17e} - floor((t + 1) * {GOLDEN:.17e}) as x from (select unnest(generate_series(0, (select slots - 1 from counted))) as t)
+), drawn as (
+  select source, t as slot, row_number() over (partition by source order by t) - 1 as rank from points join stretches on x >= a and x < z
 )
-select doc_id, size, source_size, target,
-       case when size = 0 then 0 else size * (quota // source_size) + greatest(0, least(size, quota % source_size - start)) end as taken
-from streams
+select doc_id, size, source_size, target, taken, case when taken > 0 then coalesce(slot, (select slots from counted)) end as first_slot
+from mixed left join drawn on mixed.source is not distinct from drawn.source and rank = start // {BLOCK}
 """

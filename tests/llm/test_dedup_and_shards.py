@@ -1,5 +1,6 @@
 """Exact duplicates, sharding and mixing: small cases, and SQL on the small tables."""
 
+import hashlib
 import re
 from pathlib import Path
 
@@ -130,11 +131,41 @@ def test_the_schedule_mixes_evenly(spark):
         assert abs(sum(s == "a" for _, s in slots[i : i + 100]) - 60) <= 4
 
 
+def test_slots_are_those_of_the_points(spark):
+    """First slots against a plain walk over the schedule, and a schedule of other points gives others."""
+    block, rows = 5, [(i, " ".join(["w"] * (1 + i * 7 % 23)), f"s{i % 3}") for i in range(120)]
+    got = {r.doc_id: r for r in mixing.mix(frame(spark, rows), block).collect()}
+    target = water_filling({s: sum(len(t.split()) for _, t, o in rows if o == s) for s in ("s0", "s1", "s2")})
+    total, slots, upto = sum(target.values()), {s: [] for s in target}, {}
+    for s in sorted(target):
+        upto[s] = sum(target[x] for x in target if x <= s) / total
+    n = -(-sum(r.size for r in got.values()) // block)
+    for t in range(n):
+        x = (t + 1) * mixing.GOLDEN % 1
+        slots[next((s for s in sorted(target) if x < upto[s]), "s2")].append(t)
+    for s in target:
+        at, quota = 0, round(target[s])
+        own = sorted((i for i, _, o in rows if o == s), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest())
+        size = got[own[0]].source_size
+        for i in own:
+            want = []
+            for lap in range(mixing.MOST):
+                rank = (lap * size + at) // block
+                want.append(None if lap * size + at >= quota else slots[s][rank] if rank < len(slots[s]) else n)
+            assert got[i].slots == (want if got[i].taken else None)
+            at += got[i].size
+    changed = mixing.schedule(spark.createDataFrame([(s, 0, t) for s, t in target.items()], "source string, source_size long, target double"), int(total), block)
+    assert {(r.source, r["rank"]): r.slot for r in changed.collect() if r.slot < n} == {(s, k): t for s, ts in slots.items() for k, t in enumerate(ts) if k < -(-round(target[s]) // block)}
+
+
 def test_mixed_copies(spark):
     docs = frame(spark, [(i, "a b c d", "s0" if i < 20 else "s1") for i in range(40)])
     mixed = mixing.apply_mix(docs, 4)
     assert mixed.columns == docs.columns and abs(mixed.count() - 40) <= 1
     assert max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 3
+    slot = {r.doc_id: r.slots[0] for r in mixing.mix(docs, 4).collect() if r.taken}
+    order = [slot[r.doc_id] for r in mixed.collect()]
+    assert len(set(order)) > 10 and [x for i, x in enumerate(order) if x not in order[:i]] == sorted(set(order))
 
 
 @pytest.mark.parametrize("call", [exact_dedup.exact_dedup, exact_dedup.drop_exact_duplicates, sharding.shard_documents, mixing.mix, mixing.apply_mix])
