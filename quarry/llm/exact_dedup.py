@@ -1,52 +1,52 @@
 """Exact duplicates by an extendible-hash index on shared files, with DataFrame operations only.
 
-Two texts are equal when they are the same after deleting ASCII white space. The index is built in three steps.
+Two texts are equal when they are the same after deleting ASCII white space.
 
 * Entries. One pass writes a narrow row per document (id, length, 64-bit hash, SHA-256) to the shared folder.
-* Buckets. Documents are grouped by (hash, normalised bytes). The grouping key holds the bytes themselves, so equality
-  is a comparison of bytes and never of hashes, and copies collapse in the map tasks before anything is shuffled: a group
-  that holds a third of all rows costs one row per map task. Owner tasks then take key ranges of the hash and chain the
-  texts that share a hash (slot 0, 1, ...).
-* Directory. The chained rows are counted by the first bits of the hash. Buckets over ``capacity`` split into two,
-  doubling the directory where their depth passes the global one, until they fit or ``MAX_SPLITS`` doublings are reached;
-  what is still too large then is a long chain, which is kept whole. The directory has 2**depth rows, with depth set by
-  the row count and the capacity, and goes to the index as a column, not to the driver.
-
-Looking up the entries in the index by (hash, SHA-256) gives every document its group. That join is an ordinary
-sort-merge join, whose hot keys adaptive execution splits.
+* Directory. The different hashes are counted by their first bits. Starting from one bucket, every bucket with more than
+  ``capacity`` hashes splits into two by the next bit, and the directory doubles with the deepest bucket, until all fit. It
+  says for each prefix of ``depth`` bits which bucket holds it, is written once, and has about four times n / capacity rows.
+* Buckets. Documents find their bucket in the directory and are grouped in it by (hash, normalised bytes): equality is a
+  comparison of bytes and never of hashes, and copies collapse in the map tasks before anything is shuffled, so a group with
+  a third of all rows costs one row per map task. Owner tasks take ranges of buckets, chain the texts that share a hash
+  (slot 0, 1, ...) and write their buckets, in order, to a file each.
+* Lookup. Each entry goes through the directory to its bucket, and there to the place in the chain whose text it has; bytes
+  have been compared by then, so the chain is told apart by SHA-256. The join is a sort-merge join, whose hot keys adaptive
+  execution splits.
 
 Cases: null text is the empty text and equal to any text of white space only. Ties in length go to the smallest id; a
 null id comes after all others. If the same id occurs more than once with the text that stays, one of those rows is kept.
-An empty table gives an empty result. Other columns are never read, so their names cannot clash.
+An empty table gives an empty result. Other columns pass through ``drop_exact_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, named, read_table, shuffle_partitions, whole_text
+from .common import materialise, named, read_table, shuffle_partitions
 
-#: Entries that a bucket of the index holds before it splits.
-CAPACITY = 1 << 16
-#: Doublings of the directory beyond the depth that the row count asks for.
-MAX_SPLITS = 6
-#: Rows with a repeated id up to which they are broadcast.
-REPEATS_BROADCAST = 100_000
+#: Hashes that a bucket holds before it splits: a share of all, within these bounds.
+LEAST_CAPACITY, MOST_CAPACITY, PLANNED_BUCKETS = 1 << 10, 1 << 20, 1 << 12
+#: Rows of the directory, and rows with a repeated id, up to which they are broadcast.
+DIRECTORY_BROADCAST, REPEATS_BROADCAST = 1 << 17, 100_000
 
 
-def normalised(text: str = "text"):
-    return F.regexp_replace(whole_text(text), r"[\x20\x09-\x0D]+", "")
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
-    return (
-        docs.select(*named(carry), F.col(id_col).cast("long").alias("_q_id"), F.length(whole_text(text_col)).alias("_q_len"), normalised(text_col).alias("_q_norm"))
-        .withColumn("_q_hash", F.xxhash64("_q_norm"))
-    )
+def _keyed(rows: DataFrame, id_: Column, text: Column, *carry: str) -> DataFrame:
+    """The columns ``carry`` with the id, the length of the original text, the normalised text and its hash."""
+    return rows.select(*carry, id_.cast("long").alias("_q_id"), F.length(F.coalesce(text, F.lit(""))).alias("_q_len"), normalised(text).alias("_q_norm")).withColumn("_q_hash", F.xxhash64("_q_norm"))
+
+
+def _entries(rows: DataFrame, id_: Column, text: Column, *carry: str) -> DataFrame:
+    return _keyed(rows, id_, text, *carry).withColumn("_q_sha", F.sha2("_q_norm", 256)).drop("_q_norm")
 
 
 def _whole(value) -> Column:
@@ -59,39 +59,71 @@ def _rank_key() -> Column:
     return _whole(_whole(F.col("_q_len")) * _whole(2**66) + after)
 
 
-def build_index(docs: DataFrame, n_rows: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The index, written to the shared folder: a row per different text, with its bucket, hash, slot in the chain, SHA-256, kept id and size."""
-    spark = docs.sparkSession
-    grouped = (
-        _keyed(docs, id_col, text_col)
-        .withColumn("_q_rank", _rank_key())
-        .groupBy("_q_hash", "_q_norm")
-        .agg(F.max("_q_rank").alias("_q_rank"), F.count(F.lit(1)).alias("_q_size"))
-        .select("_q_hash", F.sha2("_q_norm", 256).alias("_q_sha"), "_q_rank", "_q_size")
-    )
-    owners = grouped.repartitionByRange(shuffle_partitions(spark), "_q_hash")
-    chained = owners.withColumn("_q_slot", F.row_number().over(Window.partitionBy("_q_hash").orderBy("_q_sha")) - 1)
-    least = max(0, math.ceil(math.log2(max(1, n_rows) / capacity)))
-    depth = min(62, least + MAX_SPLITS)
-    prefix = F.shiftrightunsigned("_q_hash", 64 - depth) if depth else F.lit(0).cast("long")
-    rows = materialise(chained.withColumn("_q_prefix", prefix), "exact-chains")
-    return rows.join(directory(rows, least, depth, capacity), "_q_prefix").drop("_q_prefix")
-
-
-def directory(chained: DataFrame, least: int, depth: int, capacity: int) -> DataFrame:
-    """For each prefix of ``depth`` bits that occurs, the depth of its bucket and the bucket: the first depth at which it fits."""
-    counts = chained.groupBy("_q_prefix").agg(F.count(F.lit(1)).alias("_q_n"))
-    levels = counts.withColumn("_q_depth", F.explode(F.sequence(F.lit(least), F.lit(depth)))).withColumn(
-        "_q_bucket", F.expr(f"shiftrightunsigned(_q_prefix, {depth} - _q_depth)")
-    )
-    sized = levels.withColumn("_q_n", F.sum("_q_n").over(Window.partitionBy("_q_depth", "_q_bucket")))
-    fits = sized.filter((F.col("_q_n") <= capacity) | (F.col("_q_depth") == depth))
-    return fits.groupBy("_q_prefix").agg(F.min("_q_depth").alias("_q_depth")).withColumn("_q_bucket", F.expr(f"shiftrightunsigned(_q_prefix, {depth} - _q_depth)"))
-
-
-def _decided(entries: DataFrame, index: DataFrame) -> DataFrame:
+# directory
+
+
+@dataclass
+class Directory:
+    """_q_prefix (the first ``depth`` bits of a hash), _q_bucket (the lowest hash that the bucket can hold), _q_depth (its own depth)."""
+
+    table: DataFrame
+    depth: int
+    rows: int
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """Rows that have a _q_hash, with their bucket."""
+        table = self.table.select("_q_prefix", "_q_bucket")
+        table = F.broadcast(table) if self.rows <= DIRECTORY_BROADCAST else table
+        return rows.withColumn("_q_prefix", _prefix(self.depth)).join(table, "_q_prefix").drop("_q_prefix")
+
+
+def _prefix(depth: int) -> Column:
+    return F.shiftrightunsigned("_q_hash", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def default_capacity(n: int) -> int:
+    return min(MOST_CAPACITY, max(LEAST_CAPACITY, n // PLANNED_BUCKETS))
+
+
+def build_directory(entries: DataFrame, capacity: int | None = None) -> Directory:
+    """The directory of the hashes in _q_hash. Only counts by prefix take part; a hash that occurs often counts once."""
+    hashes = materialise(entries.select("_q_hash").distinct(), "exact-hashes")
+    n = hashes.count()
+    capacity = capacity or default_capacity(n)
+    depth = min(64, max(0, math.ceil(math.log2(max(1, n) / capacity))) + 2)
+    while True:
+        counts = materialise(hashes.groupBy(_prefix(depth).alias("_q_prefix")).agg(F.count(F.lit(1)).alias("_q_n")), "exact-counts")
+        if depth == 64 or counts.filter(F.col("_q_n") > capacity).isEmpty():
+            break
+        depth = min(64, depth + 2)
+    # all doublings at once: the bucket of a prefix is its first stretch of bits that holds few enough
+    levels = counts.withColumn("_q_depth", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    levels = levels.withColumn("_q_stem", F.when(F.col("_q_depth") > 0, F.expr(f"shiftrightunsigned(_q_prefix, {depth} - _q_depth)")).otherwise(F.lit(0).cast("long")))
+    fits = levels.groupBy("_q_depth", "_q_stem").agg(F.sum("_q_n").alias("_q_sum")).filter((F.col("_q_sum") <= capacity) | (F.col("_q_depth") == depth)).drop("_q_sum")
+    first = levels.join(fits, ["_q_depth", "_q_stem"]).groupBy("_q_prefix").agg(F.min("_q_depth").alias("_q_depth"))
+    low = F.when(F.col("_q_depth") > 0, F.expr(f"shiftleft(shiftrightunsigned(_q_prefix, {depth} - _q_depth), 64 - _q_depth)")).otherwise(F.lit(0).cast("long"))
+    table = materialise(first.withColumn("_q_bucket", low), "exact-directory")
+    return Directory(table, depth, table.count())
+
+
+# buckets
+
+
+def build_index(keyed: DataFrame, directory: Directory) -> DataFrame:
+    """The index, written to the shared folder bucket by bucket: a row per different text, with its bucket, hash, slot in the
+    chain, SHA-256, kept id and size."""
+    placed = directory.place(keyed.withColumn("_q_rank", _rank_key()).select("_q_hash", "_q_norm", "_q_rank"))
+    grouped = placed.groupBy("_q_bucket", "_q_hash", "_q_norm").agg(F.max("_q_rank").alias("_q_rank"), F.count(F.lit(1)).alias("_q_size"))
+    # narrow rows are written before they are dealt out by ranges, which reads them twice
+    narrow = materialise(grouped.select("_q_bucket", "_q_hash", F.sha2("_q_norm", 256).alias("_q_sha"), "_q_rank", "_q_size"), "exact-groups")
+    owners = narrow.repartitionByRange(shuffle_partitions(keyed.sparkSession), "_q_bucket")
+    chained = owners.withColumn("_q_slot", F.row_number().over(Window.partitionBy("_q_bucket", "_q_hash").orderBy("_q_sha")) - 1)
+    return materialise(chained, "exact-buckets")
+
+
+def look_up(entries: DataFrame, index: DataFrame, directory: Directory) -> DataFrame:
     """Entries with their group's kept id and size, and whether the row has the kept id and length."""
-    joined = entries.join(index.select("_q_hash", "_q_sha", "_q_rank", "_q_size"), ["_q_hash", "_q_sha"])
+    joined = directory.place(entries).join(index.select("_q_bucket", "_q_hash", "_q_sha", "_q_rank", "_q_size"), ["_q_bucket", "_q_hash", "_q_sha"])
     low = F.col("_q_rank") % _whole(2**66)
     return joined.withColumn("_q_keep", F.when(low > 0, _whole(_whole(2**63) - low).cast("long"))).withColumn("_q_best", _rank_key() == F.col("_q_rank"))
 
@@ -99,6 +131,7 @@ def _decided(entries: DataFrame, index: DataFrame) -> DataFrame:
 def _first_of_repeats(entries: DataFrame) -> tuple[DataFrame, int]:
     """Of each (id, text) that occurs more than once, the first row's number; how many there are."""
     repeats = entries.groupBy("_q_id", "_q_len", "_q_hash", "_q_sha").agg(F.min("_q_row").alias("_q_first"), F.count(F.lit(1)).alias("_q_times")).filter("_q_times > 1").drop("_q_times")
+    repeats = materialise(repeats, "exact-repeats")
     return repeats, repeats.count()
 
 
@@ -114,33 +147,34 @@ def _one_of_repeats(rows: DataFrame, repeats: DataFrame, n: int) -> DataFrame:
     return rows.join(right, same, "left").withColumn("_q_best", best)
 
 
-def _entries(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
-    return _keyed(docs, id_col, text_col, *carry).withColumn("_q_sha", F.sha2("_q_norm", 256)).drop("_q_norm")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    entries = materialise(_entries(docs, id_col, text_col).withColumn("_q_row", F.monotonically_increasing_id()), "exact-entries")
-    index = build_index(docs, entries.count(), id_col, text_col, capacity)
-    decided = _one_of_repeats(_decided(entries, index), *_first_of_repeats(entries))
+    id_, text = named((id_col, text_col))
+    entries = materialise(_entries(docs, id_, text).withColumn("_q_row", F.monotonically_increasing_id()), "exact-entries")
+    directory = build_directory(entries, capacity)
+    index = build_index(_keyed(docs, id_, text), directory)
+    decided = _one_of_repeats(look_up(entries, index, directory), *_first_of_repeats(entries))
     return decided.select(
         F.col("_q_id").alias("doc_id"), F.col("_q_keep").alias("keep_id"), F.col("_q_size").alias("group_size"),
         F.col("_q_best").alias("kept"), F.col("_q_sha").alias("text_sha256"),
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all of its columns."""
-    columns = docs.columns
-    entries = materialise(_entries(docs, id_col, text_col).withColumn("_q_row", F.monotonically_increasing_id()), "exact-entries")
+    rows = docs.select(F.struct(*named(docs.columns)).alias("_q_all"))
+    id_, text = F.col("_q_all")[id_col], F.col("_q_all")[text_col]
+    entries = materialise(_entries(rows, id_, text).withColumn("_q_row", F.monotonically_increasing_id()), "exact-entries")
     repeats, n = _first_of_repeats(entries)
+    carry = ("_q_all",)
     if n:  # row numbers must be the same in every pass, so they are written with the rows
-        docs = materialise(docs.withColumn("_q_row", F.monotonically_increasing_id()), "exact-rows")
-        entries = _entries(docs, id_col, text_col, "_q_row")
-        repeats, n = _first_of_repeats(entries)
-    index = build_index(docs, entries.count(), id_col, text_col, capacity)
-    rows = _entries(docs, id_col, text_col, *docs.columns)
-    return _one_of_repeats(_decided(rows, index), repeats, n).filter("_q_best").select(*named(columns))
+        rows = materialise(rows.withColumn("_q_row", F.monotonically_increasing_id()), "exact-rows")
+        carry = ("_q_all", "_q_row")
+        repeats, n = _first_of_repeats(_entries(rows, id_, text, "_q_row"))
+    directory = build_directory(entries, capacity)
+    index = build_index(_keyed(rows, id_, text), directory)
+    stays = _one_of_repeats(look_up(_entries(rows, id_, text, *carry), index, directory), repeats, n).filter("_q_best")
+    return stays.select("_q_all.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def dedup_by_hand(rows):
     return {norm: (None if min(g)[1] else min(g)[2], len(g)) for norm, g in groups.items()}
 
 
-@pytest.mark.parametrize("capacity", [1, 4, 1 << 16])
+@pytest.mark.parametrize("capacity", [1, 4, None])
 def test_exact_dedup(spark, capacity):
     got = exact_dedup.exact_dedup(frame(spark, ROWS), capacity=capacity).collect()
     want = dedup_by_hand(ROWS)
@@ -51,20 +51,55 @@ def test_exact_dedup_keeps_rows_with_their_columns(spark):
     assert {r.doc_id for r in left.collect()} == {i for i, _ in dedup_by_hand(ROWS).values()}
 
 
+def entries_of(docs):
+    return exact_dedup._entries(docs, docs.doc_id, docs.text)
+
+
 def test_index_buckets_split_where_they_are_too_full(spark):
     docs = frame(spark, [(i, f"text {i}", "s") for i in range(300)])
-    index = exact_dedup.build_index(docs, 300, capacity=20)
-    sizes = [r["count"] for r in index.groupBy("_q_depth", "_q_bucket").count().collect()]
-    assert max(sizes) <= 20 and sum(sizes) == 300 and index.where("_q_slot > 0").count() == 0
+    directory = exact_dedup.build_directory(entries_of(docs), 20)
+    index = exact_dedup.build_index(exact_dedup._keyed(docs, docs.doc_id, docs.text), directory)
+    hashes = sorted(r._q_hash % 2**64 for r in entries_of(docs).collect())
+
+    def split(low, depth):  # the textbook's splits, one bit at a time
+        inside = [h for h in hashes if h >> (64 - depth) == low >> (64 - depth)] if depth else hashes
+        return {(low, depth): len(inside)} if len(inside) <= 20 else split(low, depth + 1) | split(low | 1 << (63 - depth), depth + 1)
+
+    want = {k: n for k, n in split(0, 0).items() if n}
+    assert {(r._q_bucket % 2**64, r._q_depth) for r in directory.table.collect()} == set(want)
+    assert {r._q_bucket % 2**64: r["count"] for r in index.groupBy("_q_bucket").count().collect()} == {low: n for (low, _), n in want.items()}
+    assert index.where("_q_slot > 0").count() == 0 and len(want) > 15
+
+
+def test_rows_are_found_through_the_directory(spark):
+    """With a directory that names other buckets than those the index has, or lacks one, rows aren't found."""
+    docs = frame(spark, [(i, f"text {i}", "s") for i in range(100)])
+    entries, keyed = entries_of(docs), exact_dedup._keyed(docs, docs.doc_id, docs.text)
+    directory = exact_dedup.build_directory(entries, 10)
+    index = exact_dedup.build_index(keyed, directory)
+    assert exact_dedup.look_up(entries, index, directory).count() == 100
+    moved = directory.table.withColumn("_q_bucket", exact_dedup.F.col("_q_bucket") + 1)
+    assert exact_dedup.look_up(entries, index, exact_dedup.Directory(moved, directory.depth, directory.rows)).count() == 0
+    bucket = directory.table.first()._q_bucket
+    lacking = exact_dedup.Directory(directory.table.where(f"_q_bucket <> {bucket}"), directory.depth, directory.rows)
+    assert exact_dedup.look_up(entries, index, lacking).count() == 100 - index.where(f"_q_bucket = {bucket}").count() < 100
 
 
 def test_equal_hashes_are_chained(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: exact_dedup.F.lit(7).cast("long"))
     docs = frame(spark, [(1, "a", "s"), (2, "b", "s"), (3, "a ", "s"), (4, "c", "s")])
-    assert sorted(r["_q_slot"] for r in exact_dedup.build_index(docs, 4, capacity=1).collect()) == [0, 1, 2]
+    index = exact_dedup.build_index(exact_dedup._keyed(docs, docs.doc_id, docs.text), exact_dedup.build_directory(entries_of(docs), 1))
+    assert sorted(r["_q_slot"] for r in index.collect()) == [0, 1, 2]
     assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs, capacity=1).collect()} == {1: 3, 2: 2, 3: 3, 4: 4}
 
 
+def test_columns_with_names_of_our_own(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1, 2, 3, 4, 5, 6), (2, "ab", "s", 7, 8, 9, 1, 2, 3)], "doc_id long, text string, source string, _q_id int, _q_norm int, _q_row int, _q_number int, _q_copies int, _q_all int")
+    assert exact_dedup.drop_exact_duplicates(docs).columns == docs.columns and [tuple(r) for r in exact_dedup.drop_exact_duplicates(docs).collect()] == [(1, "a b", "s", 1, 2, 3, 4, 5, 6)]
+    mixed = mixing.apply_mix(docs, 1)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in docs.collect()} and mixed.count()
+
+
 def jump(key, shards):
     b, j, key = -1, 0, key & (1 << 64) - 1
     while j < shards:
