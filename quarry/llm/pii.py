@@ -13,13 +13,16 @@ a card with dots, an address with bracketed dots or an e-mail address with "[at]
 dates, prices and hexadecimal keys are not.
 
 Cases: null and empty texts have no spans; offsets are code points; repeated rows give equal results; digits other than
-ASCII ones never count; long texts cost time in proportion to their length. Only id and text are read.
+ASCII ones never count; long texts cost time in proportion to their length, whatever runs they hold. Only id and text are
+read. A segment has at most ``LONGEST`` units, so an entity in more groups than that, such as a card in 16 single digits,
+is found only where the base finds it.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -33,6 +36,8 @@ from .common import read_table, ship_package, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Units of the longest segment.
 LONGEST = 8
+#: Segments that are scored at once.
+SEGMENTS_AT_ONCE = 4096
 SEED, EXAMPLES, ROUNDS, RATE, DECAY = 7, 240, 25, 0.5, 1e-3
 
 Span = tuple[int, int, str]
@@ -101,10 +106,8 @@ def joined(spans: list[Span]) -> str:
 
 _RUN = re.compile(r"[+(]{0,2}[0-9](?:[\x20().+/\[\]-]{0,3}[0-9])+\)?")
 _GROUP = re.compile(r"[0-9]+")
-_WRITTEN = re.compile(
-    r"[A-Za-z0-9._%+-]+[\x20]?(?:@|\[at\]|\(at\)|\x20at\x20)[\x20]?[A-Za-z0-9-]+(?:[\x20]?(?:\.|\[dot\]|\(dot\)|\x20dot\x20)[\x20]?[A-Za-z0-9-]+)+", re.IGNORECASE
-)
-_WRITTEN_HINT = re.compile(r"@|\[at\]|\(at\)|\x20at\x20\x20?[A-Za-z0-9-]+\x20?(?:\.|\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]", re.IGNORECASE)
+_AT = re.compile(r"@|\[at\]|\(at\)|\x20at\x20", re.IGNORECASE)
+_HOST = re.compile(r"[\x20]?[A-Za-z0-9-]+(?:[\x20]?(?:\.|\[dot\]|\(dot\)|\x20dot\x20)[\x20]?[A-Za-z0-9-]+)+", re.IGNORECASE)
 #: A word, at and a host or the end of a sentence, as prose has them.
 _PROSE = re.compile(r"[A-Za-z-]+\x20at\x20[^\[(]*\.|.*\x20at\x20.*\.\x20", re.IGNORECASE)
 _JOINER = re.compile(r"[\x20]?(?:@|\[at\]|\(at\)|\x20at\x20|\.|\[dot\]|\(dot\)|\x20dot\x20)[\x20]?", re.IGNORECASE)
@@ -126,10 +129,25 @@ def sequences(text: str, taken: list[Span]) -> Iterator[list[Unit]]:
             groups = [(g.start() + m.start(), g.end() + m.start()) for g in _GROUP.finditer(m.group())]
             if sum(z - a for a, z in groups) >= 7 or _four_small(free, groups):
                 yield [(_opened(free, a, m.start()), z) for a, z in groups]
-    if _WRITTEN_HINT.search(free):
-        for m in _WRITTEN.finditer(free):
-            cuts = [(j.start() + m.start(), j.end() + m.start()) for j in _JOINER.finditer(m.group())]
-            yield list(zip([m.start(), *(z for _, z in cuts)], [*(a for a, _ in cuts), m.end()], strict=True))
+    for start, end in _written(free):
+        cuts = [(j.start() + start, j.end() + start) for j in _JOINER.finditer(free[start:end])]
+        yield list(zip([start, *(z for _, z in cuts)], [*(a for a, _ in cuts), end], strict=True))
+
+
+def _written(text: str) -> Iterator[Unit]:
+    """Where a word, an at sign in any form and a host follow each other. Both ways from each at sign only: runs between at signs
+    are looked at once, so the time is in proportion to the text's length."""
+    done, at = 0, _AT.search(text)
+    while at:
+        start = at.start() - (text[at.start() - 1 : at.start()] == " ")
+        last = start
+        while start > done and text[start - 1] in _LOCAL_SET:
+            start -= 1
+        host = _HOST.match(text, at.end()) if start < last else None
+        if host:
+            yield start, host.end()
+            done = host.end()
+        at = _AT.search(text, max(at.start() + 1, done))
 
 
 def _four_small(text: str, groups: list[Unit]) -> bool:
@@ -181,9 +199,22 @@ class Lattice:
     """All segments of a sequence: where they begin and end in units, and their features."""
 
     def __init__(self, text: str, units: list[Unit]):
-        self.units = units
-        self.pairs = [(i, j) for j in range(1, len(units) + 1) for i in range(max(0, j - LONGEST), j)]
-        self.features = np.stack([span_features(text, units[i][0], self.end(text, i, j), j - i) for i, j in self.pairs])
+        self.text, self.units = text, units
+
+    def segments(self) -> Iterator[tuple[int, int]]:
+        """First unit and unit after the last, by the latter."""
+        return ((i, j) for j in range(1, len(self.units) + 1) for i in range(max(0, j - LONGEST), j))
+
+    @functools.cached_property
+    def pairs(self) -> list[tuple[int, int]]:
+        return list(self.segments())
+
+    @functools.cached_property
+    def features(self) -> np.ndarray:
+        return self.features_of(self.pairs)
+
+    def features_of(self, segments: list[tuple[int, int]]) -> np.ndarray:
+        return np.stack([span_features(self.text, self.units[i][0], self.end(self.text, i, j), j - i) for i, j in segments])
 
     def end(self, text: str, i: int, j: int) -> int:
         """A span takes a closing bracket after its last group only for an opening one inside."""
@@ -196,17 +227,19 @@ class Lattice:
 
     def best(self, weights: np.ndarray) -> list[tuple[int, int, int]]:
         """The best segmentation's entities: first unit, unit after the last, kind."""
-        scores = self.scores(weights)
-        best, back = np.zeros(len(self.units) + 1), [None] * (len(self.units) + 1)
-        best[1:] = -np.inf
-        at = 0
-        for j in range(1, len(best)):
-            best[j] = best[j - 1]
+        best, back = [0.0], [None]
+        waiting, held = self.segments(), iter(())
+        for j in range(1, len(self.units) + 1):
+            best.append(best[j - 1])
+            back.append(None)
             for i in range(max(0, j - LONGEST), j):
-                kind = int(scores[at].argmax())
-                if best[i] + scores[at, kind] > best[j]:
-                    best[j], back[j] = best[i] + scores[at, kind], (i, j, kind)
-                at += 1
+                scores = next(held, None)
+                if scores is None:  # scores of a long sequence are never held together
+                    held = iter((self.features_of(list(itertools.islice(waiting, SEGMENTS_AT_ONCE))) @ weights.T).tolist())
+                    scores = next(held)
+                kind = max(range(len(KINDS)), key=scores.__getitem__)
+                if best[i] + scores[kind] > best[j]:
+                    best[j], back[j] = best[i] + scores[kind], (i, j, kind)
         found, j = [], len(self.units)
         while j:
             if back[j]:

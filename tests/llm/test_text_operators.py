@@ -5,6 +5,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 from pathlib import Path
 
@@ -298,6 +299,60 @@ def test_letters_that_decompose_and_special_tokens():
     assert coder.encode(texts) == [coder.whole(t) for t in texts]
 
 
+PLANTED = [  # written by hand, none of them made by made_examples
+    ("Reach me on (415) 555-0134 after six.", "(415) 555-0134", "phone"), ("Fax: 212-555-0187, no calls", "212-555-0187", "phone"), ("her cell is 646.555.0142 I think", "646.555.0142", "phone"),
+    ("Hotline 303 555 0199 is open", "303 555 0199", "phone"), ("pay with 4111.1111.1111.1111 today", "4111.1111.1111.1111", "card"), ("old card 5500/0000/0000/0004 was lost", "5500/0000/0000/0004", "card"),
+    ("server 192[.]168[.]10[.]7 is down", "192[.]168[.]10[.]7", "ip"), ("ping 172 . 16 . 254 . 3 twice", "172 . 16 . 254 . 3", "ip"), ("write jane.doe[at]mailbox.org please", "jane.doe[at]mailbox.org", "email"),
+    ("my mail is bob77 (at) postfach dot de ok", "bob77 (at) postfach dot de", "email"), ("ask support at fabrikam dot com first", "support at fabrikam dot com", "email"), ("mail to hans.meier at beispiel.de now", "hans.meier at beispiel.de", "email"),
+]
+HARMLESS = [
+    "ISBN 978-3-16-148410-0 is out", "on 12/31/1999 and 2001-09-11", "release 10.4.11.2048 of the tool", "a total of 1,234,567.89 euros", "pages 12-19, 24-30 and 41", "she is at home. Then she left", "look at www and wait", "ratio 3.14159265358979", "id 00012345678901234567890123456789",
+    "score 21-14 21-19", "meet at noon. Bring food", "build 20240105.3 passed", "lat 52.5200 lon 13.4050", "10 20 30 40 50 60 70 80 90 100",
+]
+
+
+def test_recall_and_precision_on_forms_written_by_hand():
+    weights = pii.trained()
+    found = extra = 0
+    for text, span, kind in PLANTED:
+        got = pii.find_spans(text, weights)[1]
+        want = (text.index(span), text.index(span) + len(span), kind)
+        found, extra = found + (want in got), extra + sum(s != want for s in got)
+    wrong = sum(len(pii.find_spans(t, weights)[1]) for t in HARMLESS)
+    assert found >= len(PLANTED) - 1 and extra + wrong <= 1, (found, extra, wrong)
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + "@ x", "@" + "a" * 10**6, "ab1f" * 250_000 + " at " + "c" * 10**5, "a at b " * 100_000, "." * 10**6 + "@", "a[at]" * 200_000, "x " + "9f" * 500_000])
+def test_long_runs_take_time_in_proportion(text):
+    weights = pii.trained()
+    began = time.process_time()
+    pii.find_spans(text, weights)
+    assert time.process_time() - began < 2
+
+
+def spans_by_plain_decoder(text, weights):
+    """All segmentations by a recursion from the end with the first of the best ones, one span at a time."""
+    base = pii.base_spans(text)
+    added = []
+    for units in pii.sequences(text, base):
+        lattice, best = pii.Lattice(text, units), {len(units): (0.0, [])}
+        for i in range(len(units) - 1, -1, -1):
+            choices = [best[i + 1]]
+            for j in range(i + 1, min(len(units), i + pii.LONGEST) + 1):
+                a, z = units[i][0], lattice.end(text, i, j)
+                score, kind = max((float(weights[k] @ pii.span_features(text, a, z, j - i)), k) for k in range(len(pii.KINDS)))
+                choices.append((best[j][0] + score, [(a, z, pii.KINDS[kind]), *best[j][1]]))
+            best[i] = max(choices, key=lambda c: c[0])
+        added += best[0][1]
+    return pii.in_order(base + added)
+
+
+def test_spans_by_a_plain_decoder():
+    weights = pii.trained()
+    texts = [t for t, _ in pii.made_examples(60, 99)] + [t for t, _, _ in PLANTED] + HARMLESS[:-1]  # the last has segmentations that score the same
+    assert [pii.find_spans(t, weights)[1] for t in texts] == [spans_by_plain_decoder(t, weights) for t in texts]
+
+
 def test_pii_query(spark):
     texts = ["x@y.zz and é 1.2.3.4", None, "", "call (555) 123-4567 now", "1 2 " * 20_000]
     got = {r.doc_id: r for r in pii.find_pii(docs(spark, texts)).collect()}
