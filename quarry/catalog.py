@@ -11,17 +11,21 @@ import datetime as dt
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import QuarryError
 from .expr import (
     AND, ASC, AVG, CONTAINS, COUNT, DESC, DISTINCT, EQ, EXISTS, GT, GTE, HAS, HASALL, HASANY, HASNONE, IN, ISNULL, LEN, LT, LTE, MAX, MIN, NE, NOT, NOTIN, NOTNULL, OR, OUT, POS, PREFIX, Q,
     ROWCOUNT, SUFFIX, SUM, aggregate, query,
 )
-from .schema import KEY, Schema
+from .patch import convert, make_patch
+from .schema import KEY, Field, Schema
 from .sources.collection import Collection
 from .sources.store import Store, StoredCollection
+from .sources.trace import Tracer
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -180,7 +184,7 @@ def _orderings() -> dict[str, tuple[Build, str]]:
         "query_records": (_records(customer, query(PREFIX("c_mktsegment", "B"))), f"select * from {_CUSTOMER} where starts_with(c_mktsegment, 'B')"),
         "scan_seek": (lambda spark, sf_dir: customer(spark, sf_dir).scan(100), f"select * from {_CUSTOMER} where c_custkey >= 100 order by c_custkey"),
         "scan_keys": (lambda spark, sf_dir: nation(spark, sf_dir).scan_keys("J"), "select n_name from nation where n_name >= 'J' order by n_name"),
-        "get": (lambda spark, sf_dir: customer(spark, sf_dir).scan(7).limit(1), f"select * from {_CUSTOMER} where c_custkey = 7"),
+        "get": (_got, f"select k as asked, c_custkey is not null as found, c_name from (values (7), (1), (1000000000), (-5)) v(k) left join {_CUSTOMER} on c_custkey = k"),
     }
 
 
@@ -214,8 +218,7 @@ def _aggregates() -> dict[str, tuple[Build, str]]:
         "group2": o(Q().group("status", "o_orderpriority").metrics(rows, MAX("o_custkey").AS("m")), "select status, o_orderpriority, count(*) as rows, max(o_custkey) as m from ORDERS group by 1, 2"),
         "group_null": o(Q().group("status").metrics(rows), "select status, count(*) as rows from ORDERS group by 1"),
         "group_only": o(Q().group("status", "o_orderpriority"), "select distinct status, o_orderpriority from ORDERS"),
-        "group_time": (_reduced(events, query(LTE("user_id", 20)).group("ts").metrics(rows)), f"select {_SECOND} as ts, count(*) as rows from events where user_id <= 20 group by 1"),
-        "group_time_whole": (_reduced(events, Q().group("ts").metrics(rows)), f"select {_SECOND} as ts, count(*) as rows from events group by 1"),
+        "group_time": (_reduced(events, Q().group("ts").metrics(rows)), f"select {_SECOND} as ts, count(*) as rows from events group by 1"),
         "count_distinct_grouped": o(Q().group("o_orderpriority").metrics(COUNT(DISTINCT("o_custkey")).AS("n"), rows), "select o_orderpriority, count(distinct o_custkey) as n, count(*) as rows from ORDERS group by 1"),
         "having_cmp": o(Q().group("o_custkey").metrics(rows).having(GTE(OUT("rows"), 15)), "select o_custkey, count(*) as rows from ORDERS group by 1 having count(*) >= 15"),
         "having_in": o(Q().group("o_custkey").metrics(rows).having(IN(OUT("rows"), [3, 5.0, 7.5])), "select o_custkey, count(*) as rows from ORDERS group by 1 having count(*) in (3, 5)"),
@@ -242,29 +245,200 @@ def _with_flag(spark: SparkSession, sf_dir: str) -> Collection:
     return Collection(df, Schema.of(df, "o_orderkey", "orders"))
 
 
+def _got(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = customer(spark, sf_dir)
+    found = [(key, people.get(key)) for key in (7, 1, 10**9, -5)]
+    return spark.createDataFrame([(key, row is not None, row and row["c_name"]) for key, row in found], "asked long, found boolean, c_name string")
+
+
 def _metadata() -> dict[str, tuple[Build, str]]:
-    fields = {"c_name": "c_name", "c_nationkey": "c_nationkey", "c_acctbal": None, "c_mktsegment": "c_mktsegment"}
-    listed = " union all ".join(f"select '{f}' as field, cast({v} as varchar) as value from customer where {v} is not null" for f, v in fields.items() if v)
-    counts = f"(select field, value, count(*) as n from ({listed}) group by 1, 2)"
-    shown = [f for f, v in fields.items() if v]
+    fields = ("c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    size = {"c_name": "strlen(c_name)", "c_mktsegment": "strlen(c_mktsegment)"}
+    listed = " union all ".join(f"select '{f}' as field, cast({f} as varchar) as value, {size.get(f, 8)} as bytes from customer where {f} is not null" for f in fields)
+    counts = f"(select field, value, bytes, count(*) as n from ({listed}) group by 1, 2, 3)"
+    balance = "select 'balance' as field, count(*) as n from (select balance from CUSTOMER)".replace("CUSTOMER", _CUSTOMER)
+    counted = " union all ".join([*(f"select '{f}' as field, count({f}) as records from customer" for f in fields), balance.replace("count(*) as n", "count(balance) as records")])
     return {
         "stats": (lambda s, d: customer(s, d).stats(), "select count(*) as keys, max(c_custkey) as last_key from customer"),
+        "field_counts": (lambda s, d: customer(s, d).field_counts(), counted),
         "index_stats": (
-            lambda s, d: customer(s, d).index_stats().where(F.col("field").isin(shown)),
-            f'select field, count(*) as "distinct", cast(sum(n) as bigint) as entries, cast(sum(strlen(value)) as bigint) as bytes from {counts} group by 1',
+            lambda s, d: customer(s, d).index_stats(),
+            f'select field, count(*) as "distinct", cast(sum(n) as bigint) as entries, cast(sum(bytes) as bigint) as bytes from {counts} group by 1',
         ),
         "planner_stats": (
-            lambda s, d: customer(s, d).planner_stats().where(F.col("field").isin(shown)),
+            lambda s, d: customer(s, d).planner_stats(),
             f'select field, count(*) as "distinct", cast(sum(n) as bigint) as total, avg(n) as mean, max(n) as most, quantile_cont(n, 0.5)::double as p50, quantile_cont(n, 0.95)::double as p95 from {counts} group by 1',
         ),
+        "planner_snapshot": (
+            _snapshot,
+            f'select field, count(*) as "distinct", max(n) as most, cast(2 as bigint) as refreshes, cast(1 as bigint) as behind from {counts} group by 1',
+        ),
+        "store_stats": (
+            _store_stats,
+            "select 'rows' as name, count(*) as value from customer union all select * from (values ('collections', 1), ('committed', 2), ('failed', 1), ('refused', 1), ('open_views', 1), ('sequence', 50)) v(name, value)",
+        ),
+        "trace": (
+            _traced,
+            f"select 'query' as read, (select count(*) from {_ORDERS} where o_orderstatus = 'O' and o_totalprice >= 100000) as rows, true as scanned, true as pushed union all select 'count', 1, true, false",
+        ),
     }
 
 
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept statistics after a refresh, a commit, a refresh and another commit: those of the second refresh."""
+    handle = _stored(spark, sf_dir)
+    handle.refresh_planner_stats()
+    with handle.store.update() as tx:
+        handle.patch(tx, 1, {"c_mktsegment": "OTHER"})
+        handle.patch(tx, 1, {"c_mktsegment": handle.latest().get(1)["c_mktsegment"]})
+    handle.refresh_planner_stats()
+    with handle.store.update() as tx:
+        handle.delete(tx, 1)
+    epoch, table = handle.planner_snapshot()
+    refreshes = len(handle.store.files.folders("stats/customer"))
+    behind = handle.store.manifest["epoch"] - epoch
+    return table.select("field", "distinct", "most", F.lit(refreshes).cast("long").alias("refreshes"), F.lit(behind).cast("long").alias("behind"))
+
+
+def _store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters after two commits, a failed and a refused one, with a view open and ids advanced to 50."""
+    handle = _stored(spark, sf_dir)
+    store = handle.store
+    view = store.view()
+    taken = handle.latest().get(2)["c_name"]
+    for changes in ({"c_mktsegment": "A"}, {"c_mktsegment": "B"}, {"c_name": taken}):
+        tx = store.update()
+        handle.patch(tx, 1, changes)
+        store.commit_batch([tx])
+    handle.advance_id(50)
+    Store(spark, store.files.root).collection(handle.schema).advance_id(10**6)
+    _error(handle.truncate)
+    counted = {**store.stats(), "sequence": handle.stats()["sequence"]}
+    view.close()
+    return spark.createDataFrame([(k, counted[k]) for k in ("rows", "collections", "committed", "failed", "refused", "open_views", "sequence")], "name string, value long")
+
+
+def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, base = [], orders(spark, sf_dir)
+    tracer = Tracer(events.append)
+    tracer.write("query", base.query(query(EQ("o_orderstatus", "O"), GTE("o_totalprice", 100000))), f"{_folder(spark)}/trace-{uuid.uuid4().hex}")
+    tracer.collect("count", base.count_of())
+    return spark.createDataFrame([(e.read, e.rows, "Scan" in e.operators or any("Scan" in o for o in e.operators), bool(e.pushed)) for e in events], "read string, rows long, scanned boolean, pushed boolean")
+
+
+def _error(call: Callable[[], object]) -> str:
+    """The name of the error that a call raises, or 'none'."""
+    try:
+        call()
+    except QuarryError as error:
+        return type(error).__name__
+    return "none"
+
+
+def _cases(cases: Callable[[SparkSession, str], dict[str, str]], expected: dict[str, str]) -> tuple[Build, str]:
+    """A table of cases and their outcomes."""
+    build = lambda spark, sf_dir: spark.createDataFrame(list(cases(spark, sf_dir).items()), "case string, outcome string")
+    return build, "select * from (values " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in expected.items()) + ') v("case", outcome)'
+
+
+def _refusals() -> dict[str, tuple[Build, str]]:
+    rows = ROWCOUNT().AS("rows")
+
+    def reads(expected: str, **asked: Callable[[Collection], object]) -> tuple[Build, str]:
+        return _cases(lambda s, d: {name: _error(lambda call=call: call(customer(s, d))) for name, call in asked.items()}, dict.fromkeys(asked, expected) | {"control": "none"} if "control" in asked else dict.fromkeys(asked, expected))
+
+    refused = lambda **asked: reads("InvalidQuery", **asked, control=lambda c: c.query(query(EQ("c_nationkey", 1)).sort("c_name")))
+    reduced = lambda q: lambda c: c.aggregate(q)
+    return {
+        "refuse_pos_literal": refused(text=lambda c: c.query(query().sort_by(POS("c_mktsegment", "BUILDING"))), key=lambda c: c.query(query().sort_by(POS(KEY, [1])))),
+        "refuse_two_sort_keys": refused(two=lambda c: c.query(query().sort("c_name").sort("c_nationkey")), out=lambda c: c.query(query().sort_out("c_name"))),
+        "refuse_having_in_empty": refused(empty=reduced(aggregate(rows).having(IN(OUT("rows"), []))), prefix=reduced(aggregate(rows).having(PREFIX(OUT("rows"), "1")))),
+        "refuse_group_key": refused(group=reduced(Q().group(KEY)), total=reduced(aggregate(SUM(KEY)))),
+        "refuse_measure_use": refused(group=reduced(Q().group("balance").metrics(rows)), distinct=reduced(aggregate(DISTINCT("balance"))), filter=lambda c: c.query(query(EQ("balance", 1)))),
+        "refuse_aggregate_projection": refused(select=reduced(aggregate(rows).select("c_name")), name=reduced(aggregate(ROWCOUNT(), ROWCOUNT()))),
+        "refuse_array_metrics": _cases(
+            lambda s, d: {name: _error(lambda q=q: part(s, d).aggregate(q)) for name, q in {"avg": aggregate(AVG("tags")), "max": aggregate(MAX("tags")), "group": Q().group("tags"), "distinct": aggregate(DISTINCT("tags"))}.items()},
+            dict.fromkeys(("avg", "max", "group", "distinct"), "InvalidQuery"),
+        ),
+        "errors": _cases(_misuse, {"nil value": "NilValue", "key of another kind": "InvalidKey", "over": "TransactionDone", "no transaction": "NilTransaction", "a view to write": "WrongTransaction", "another store": "StoreMismatch", "name": "InvalidName", "unique": "UniqueViolation", "closed": "Closed"}),
+        "value_conversion": _cases(_converted, {"3.0 as int": "3", "3 as float": "3.0", "too wide": "InvalidPatch", "fraction": "InvalidPatch", "text as int": "InvalidPatch", "bool as int": "InvalidPatch", "negative unsigned": "InvalidPatch", "null": "None", "null where needed": "InvalidPatch", "list": "[1, None]", "no list": "InvalidPatch"}),
+        "make_patch": _cases(_differences, {"equal": "{}", "signed zero": "{}", "one field": "{'a': 2}", "json name": "{'eMail': 'z'}", "no old": "{'a': 1, 'email': None}", "no new": "{}", "no name": "InvalidPatch"}),
+        "next_id": _cases(_ids, {"first": "1,2,3", "advanced": "11", "not lowered": "12", "node": str(2 << 48 | 13), "after truncate": "14", "reopened is above": "True", "text keys ascend": "True"}),
+    }
+
+
+def _misuse(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    c = _stored(spark, sf_dir)
+    store, done = c.store, c.store.update()
+    done.close()
+    other = Store(spark, f"{_folder(spark)}/store-{uuid.uuid4().hex}")
+
+    def taken():
+        with store.update() as tx:
+            c.patch(tx, 1, {"c_name": c.latest().get(2)["c_name"]})
+
+    found = {
+        "nil value": _error(lambda: c.set(store.update(), 1, None)), "key of another kind": _error(lambda: c.set(store.update(), "a", {})), "over": _error(lambda: c.delete(done, 1)), "no transaction": _error(lambda: c.delete(None, 1)),
+        "a view to write": _error(lambda: c.delete(store.view(), 1)), "another store": _error(lambda: c.delete(other.update(), 1)), "name": _error(lambda: store.collection(Schema("a/b", "id", "int64", c.schema.fields))), "unique": _error(taken),
+    }
+    store.close()
+    return found | {"closed": _error(store.view)}
+
+
+def _said(call: Callable[[], object]) -> str:
+    try:
+        return str(call())
+    except QuarryError as error:
+        return type(error).__name__
+
+
+def _converted(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    whole, half = Field("a", "int32"), Field("b", "float64")
+    asked = {
+        "3.0 as int": (3.0, whole), "3 as float": (3, half), "too wide": (2**31, whole), "fraction": (1.5, whole), "text as int": ("1", whole), "bool as int": (True, whole), "negative unsigned": (-1, Field("u", "uint64")), "null": (None, whole),
+        "null where needed": (None, Field("n", "int64", nullable=False)), "list": ([1, None], Field("l", "int64", array=True)), "no list": ("x", Field("l", "string", array=True)),
+    }
+    return {name: _said(lambda v=v, f=f: convert(v, f)) for name, (v, f) in asked.items()}
+
+
+def _differences(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    schema = Schema("s", "id", "int64", (Field("a", "float64"), Field("email", "string", json="eMail")))
+    nameless, old = Schema("s", "id", "int64", (Field("a", "int64", json="-"),)), {"a": 0.0, "email": None}
+    return {
+        "equal": _said(lambda: make_patch(schema, old, old)), "signed zero": _said(lambda: make_patch(schema, old, {**old, "a": -0.0})), "one field": _said(lambda: make_patch(schema, old, {**old, "a": 2})),
+        "json name": _said(lambda: make_patch(schema, old, {**old, "email": "z"}, json=True)).replace('"', "'"), "no old": _said(lambda: make_patch(schema, None, {"a": 1, "email": None})), "no new": _said(lambda: make_patch(schema, old, None)),
+        "no name": _said(lambda: make_patch(nameless, None, {"a": 1}, json=True)),
+    }
+
+
+def _ids(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    store = Store(spark, f"{_folder(spark)}/store-{uuid.uuid4().hex}")
+    users, pages = Schema("users", "id", "int64", (Field("a", "int64"),)), Schema("pages", "url", "string", (Field("a", "int64"),))
+    numbered, named = store.collection(users), store.collection(pages)
+    found = {"first": ",".join(str(numbered.next_id()) for _ in range(3))}
+    numbered.advance_id(10)
+    found["advanced"] = str(numbered.next_id())
+    numbered.advance_id(5)
+    found["not lowered"], found["node"] = str(numbered.next_id()), str(numbered.next_id(node=2))
+    numbered.truncate()
+    found["after truncate"] = str(numbered.next_id())
+    found["reopened is above"] = str(Store(spark, store.files.root).collection(users).next_id() > 14)
+    made = [named.next_id() for _ in range(20)]
+    return found | {"text keys ascend": str(made == sorted(set(made)))}
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder; one of our own only where the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return root or f"file://{tempfile.mkdtemp(prefix='quarry-store-')}"
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> StoredCollection:
     """The customers in a store of their own, in the shared folder if the session names one."""
     df = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarry-store-')}"
-    handle = Store(spark, f"{root}/store-{uuid.uuid4().hex}", buckets=4).collection(Schema.of(df, "c_custkey", "customer", unique=["c_name"]))
+    handle = Store(spark, f"{_folder(spark)}/store-{uuid.uuid4().hex}", buckets=4).collection(Schema.of(df, "c_custkey", "customer", unique=["c_name"]))
     handle.load(df)
     return handle
 
@@ -302,18 +476,84 @@ def _writes() -> dict[str, tuple[Build, str]]:
             c.patch(tx, 1, {"c_name": now[2]})
             c.patch(tx, 2, {"c_name": now[1]})
 
+    def aliases(c):
+        other = c.store.collection(replace(c.schema, fields=tuple(replace(f, aliases=("segment",), json="Seg") if f.name == "c_mktsegment" else f for f in c.schema.fields)))
+        with c.store.update() as tx:
+            other.patch(tx, 1, {"segment": "BY ALIAS"})
+            other.patch(tx, 2, {"Seg": "BY JSON"})
+            other.patch(tx, 3, {"segment": "FIRST", "c_mktsegment": "LAST"})
+
+    def hooked(c):
+        def hook(tx, key, old, now):  # mark what changes, and keep what it was under another key
+            if key < 10**6 and now is not None:
+                now["c_mktsegment"] = "HOOKED"
+                keep.set(tx, key + 10**6, {**old, "c_name": f"old {old['c_name']}"})
+
+        keep = c.store.collection(c.schema, hooks=[hook])
+        with c.store.update() as tx:
+            for key in (1, 2, 3):
+                keep.patch(tx, key, {"c_nationkey": 0})
+            keep.delete(tx, 4)
+
+    def strict(c):
+        for key, changes in ((1, {"c_mktsegment": "NO", "unknown": 1}), (2, {"c_mktsegment": "YES"})):
+            tx = c.store.update()
+            c.patch(tx, key, changes, strict=True)
+            c.store.commit_batch([tx])
+
+    def batched(c):
+        taken = c.latest().get(2)["c_name"]
+        with c.store.batch(soft_limit=2) as batch:
+            for key, changes in ((1, {"c_mktsegment": "B"}), (3, {"c_name": taken}), (5, {"c_mktsegment": "B"}), (6, {"c_nationkey": "x"}), (7, {"c_mktsegment": "B"})):
+                tx = c.store.update()
+                c.patch(tx, key, changes)
+                batch.submit(tx)
+
+    def refused(c):
+        late = Store(c.store.spark, c.store.files.root)
+        ours, theirs, behind = c.store.update(), late.update(), late.collection(c.schema)
+        c.patch(ours, 1, {"c_mktsegment": "FIRST"})
+        behind.patch(theirs, 1, {"c_mktsegment": "LATE"})
+        behind.patch(theirs, 2, {"c_mktsegment": "LATE"})
+        ours.commit()
+        assert _error(theirs.commit) == "StaleManifest"
+        late.refresh()
+        with late.update() as tx:
+            behind.patch(tx, 3, {"c_mktsegment": "RETRIED"})
+        late.vacuum()
+        c.store.refresh()
+
+    def merged(c):
+        c.merge(c.latest().scan(5).where("c_custkey < 9").withColumn("c_mktsegment", F.lit("MERGED")))
+
+    def evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = _stored(spark, sf_dir)
+        fields = tuple(replace(f, kind="int64") if f.name == "c_nationkey" else f for f in c.schema.fields if f.name != "c_acctbal")
+        now = c.store.collection(replace(c.schema, fields=(*fields, Field("city", "string"))))
+        with c.store.update() as tx:
+            now.patch(tx, 1, {"city": "X", "c_nationkey": 2**40})
+        return now.latest().scan()
+
+    segment = "select c_custkey, c_name, c_nationkey, c_acctbal, {} as c_mktsegment from customer".format
     rest = "c_nationkey, c_acctbal, c_mktsegment from customer"
     return {
         "set_upsert": (_written(upsert), "select * from customer where c_custkey <> 1 union all select k, n, 3, 1.5, 'NONE' from (values (1, 'new'), (1000000000, 'newer')) v(k, n)"),
         "patch": (_written(patch), "select c_custkey, c_name, c_nationkey, c_acctbal, case when c_custkey between 1 and 50 then 'X' else c_mktsegment end as c_mktsegment from customer"),
         "delete": (_written(delete), "select * from customer where c_custkey not between 1 and 10"),
+        "patch_by_alias": (_written(aliases), segment("case c_custkey when 1 then 'BY ALIAS' when 2 then 'BY JSON' when 3 then 'LAST' else c_mktsegment end")),
+        "hooks": (_written(hooked), "select c_custkey, c_name, case when c_custkey between 1 and 3 then 0 else c_nationkey end as c_nationkey, c_acctbal, case when c_custkey between 1 and 3 then 'HOOKED' else c_mktsegment end as c_mktsegment from customer where c_custkey <> 4 union all select c_custkey + 1000000, 'old ' || c_name, c_nationkey, c_acctbal, c_mktsegment from customer where c_custkey between 1 and 3"),
+        "patch_strict": (_written(strict), segment("case c_custkey when 2 then 'YES' else c_mktsegment end")),
+        "batch": (_written(batched), segment("case when c_custkey in (1, 5, 7) then 'B' else c_mktsegment end")),
+        "refused_writer": (_written(refused), segment("case c_custkey when 1 then 'FIRST' when 3 then 'RETRIED' else c_mktsegment end")),
+        "merge": (_written(merged), segment("case when c_custkey between 5 and 8 then 'MERGED' else c_mktsegment end")),
+        "schema_evolution": (evolved, "select c_custkey, c_name, case when c_custkey = 1 then 1099511627776 else c_nationkey end as c_nationkey, c_mktsegment, case when c_custkey = 1 then 'X' end as city from customer"),
         "truncate": (_written(lambda c: c.truncate()), "select * from customer where false"),
         "unique_swap": (_written(swap), f"select c_custkey, case c_custkey when 1 then (select c_name from customer where c_custkey = 2) when 2 then (select c_name from customer where c_custkey = 1) else c_name end as c_name, {rest}"),
     }
 
 
 def _all() -> dict[str, tuple[Build, str]]:
-    return _orderings() | _filters() | _aggregates() | _metadata() | _writes()
+    return _orderings() | _filters() | _aggregates() | _metadata() | _refusals() | _writes()
 
 
 def queries() -> dict[str, Build]:

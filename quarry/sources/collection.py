@@ -114,28 +114,39 @@ class Collection:
         return [f for f in self.schema.fields if f.queryable]
 
     def _values(self) -> DataFrame:
-        """A row for each (field, value as text) of a record, from one pass over the columns; an array gives each of its elements once."""
+        """A row for each (field, value) of a record, from one pass over the columns; an array gives each of its elements once.
+        A value is shuffled as 128 bits of hash and its length in bytes (8 for what is no string), never as itself."""
         def one(f: Field) -> Column:
             values = elements(f) if f.array else F.filter(F.array(logical(f)), lambda x: x.isNotNull())
-            return F.transform(values, lambda x: F.struct(F.lit(f.name).alias("field"), x.cast("string").alias("value")))
+            length = (lambda x: F.octet_length(x)) if f.kind == "string" else (lambda x: F.lit(8))
+            return F.transform(values, lambda x: F.struct(F.lit(f.name).alias("field"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), length(x).alias("bytes")))
 
-        return self.df.select(F.explode(F.concat(*map(one, self._indexed()))).alias("v")).select("v.field", "v.value")
+        return self.df.select(F.explode(F.concat(*map(one, self._indexed()))).alias("v")).select("v.*")
+
+    def _value_counts(self) -> DataFrame:
+        return self._values().groupBy("field", "h1", "h2", "bytes").agg(F.count(F.lit(1)).alias("n"))
 
     def index_stats(self) -> DataFrame:
-        """For each queryable field: different values, entries (values over all records) and bytes of the different values as text."""
+        """For each queryable field: different values, entries (values over all records) and bytes of the different values."""
         self._need_index()
-        counts = self._values().groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-        return counts.groupBy("field").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("entries"), F.sum(F.octet_length("value")).cast("long").alias("bytes"))
+        return self._value_counts().groupBy("field").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("entries"), F.sum("bytes").cast("long").alias("bytes"))
 
     def planner_stats(self) -> DataFrame:
-        """For each queryable field: how many values it has and how many records they hold (total, mean, most, median, 95th percentile)."""
+        """For each queryable field: how many values it has and how many records they hold (total, mean, most, median, 95th
+        percentile). The percentiles are exact; they keep one entry for each different count, of which n records can't have
+        more than the root of 2 n."""
         self._need_index()
-        counts = self._values().groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
         rank = lambda p: F.percentile("n", F.lit(p))
-        return counts.groupBy("field").agg(
+        return self._value_counts().groupBy("field").agg(
             F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"), F.avg("n").alias("mean"), F.max("n").alias("most"), rank(0.5).alias("p50"), rank(0.95).alias("p95")
         )
 
+    def field_counts(self) -> DataFrame:
+        """For each field, the records in which it is not null, from one aggregate."""
+        counts = self.df.agg(*(F.count(column(f)).alias(f"n{i}") for i, f in enumerate(self.schema.fields)))
+        pairs = F.array(*(F.struct(F.lit(f.name).alias("field"), F.col(f"n{i}").alias("records")) for i, f in enumerate(self.schema.fields)))
+        return counts.select(F.explode(pairs).alias("v")).select("v.*")
+
     def null_count(self, name: str) -> int:
         """Records in which a field is null."""
         f = self.schema.field(name)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -30,19 +32,32 @@ class Files:
         finally:
             stream.close()
 
-    def replace_json(self, name: str, value: Any) -> None:
-        """Write beside the file, then put in its place in one step."""
+    def create_json(self, name: str, value: Any) -> bool:
+        """Write beside the file, then put in its place in one step; False, and nothing changed, if there is a file of that name."""
         temporary = f".{name}.{uuid.uuid4().hex}"
         stream = self.system.create(self.path(temporary), True)
         try:
             stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         finally:
             stream.close()
-        contexts, options = self.jvm.org.apache.hadoop.fs.FileContext, self.jvm.org.apache.hadoop.fs.Options.Rename
-        how = self.gateway.new_array(options, 1)
-        how[0] = options.OVERWRITE
-        target = self.system.makeQualified(self.path(name))
-        contexts.getFileContext(target.toUri(), self.conf).rename(self.system.makeQualified(self.path(temporary)), target, how)
+        source, target = (self.system.makeQualified(self.path(n)) for n in (temporary, name))
+        try:
+            if target.toUri().getScheme() == "file":  # Hadoop's rename on local disks looks first and moves then
+                os.link(source.toUri().getPath(), target.toUri().getPath())
+                return True
+            contexts, options = self.jvm.org.apache.hadoop.fs.FileContext, self.jvm.org.apache.hadoop.fs.Options.Rename
+            how = self.gateway.new_array(options, 1)
+            how[0] = options.NONE
+            contexts.getFileContext(target.toUri(), self.conf).rename(source, target, how)
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError:
+            if self.exists(name):
+                return False
+            raise
+        finally:
+            self.delete(temporary)
 
     def delete(self, name: str) -> None:
         self.system.delete(self.path(name), True)
@@ -51,3 +66,8 @@ class Files:
         if not self.exists(name):
             return []
         return [f.getPath().getName() for f in self.system.listStatus(self.path(name)) if f.isDirectory()]
+
+    def names(self, pattern: str) -> list[str]:
+        """Files right under the root that match a pattern, in order."""
+        found = self.system.globStatus(self.path(pattern))
+        return sorted(f.getPath().getName() for f in found or ())

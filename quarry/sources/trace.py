@@ -7,8 +7,10 @@ import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -29,11 +31,20 @@ class Tracer:
         self.sink, self.every, self.turn = sink, every, itertools.count(1)
 
     def collect(self, read: str, df: DataFrame) -> list[Row]:
+        """Run a read whose rows the caller wants in the driver anyway."""
+        return self._traced(read, df, df.collect, len)
+
+    def write(self, read: str, df: DataFrame, path: str) -> None:
+        """Run a read into Parquet files; only the number of its rows comes to the driver."""
+        rows = Observation()
+        self._traced(read, df, lambda: df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path), lambda _: rows.get["rows"])
+
+    def _traced(self, read: str, df: DataFrame, run: Callable[[], Any], count: Callable[[Any], int]) -> Any:
         began = time.perf_counter()
-        rows = df.collect()
+        result = run()
         if self.every and next(self.turn) % self.every == 0:
             plan = df._jdf.queryExecution().executedPlan().toString()
             names = re.findall(r"^[\s:|+*()\d-]*([A-Z][A-Za-z]+)", plan, re.MULTILINE)
-            pushed = re.findall(r"PushedFilters: \[(.*?)\](?:,|$)", plan, re.MULTILINE)
-            self.sink(Event(read, tuple(names), tuple(p for p in pushed if p), len(rows), time.perf_counter() - began))
-        return rows
+            pushed = re.findall(r"PushedFilters: \[(.*?)(?:\]|\.\.\.)(?:,|$)", plan, re.MULTILINE)
+            self.sink(Event(read, tuple(names), tuple(p for p in pushed if p), count(result), time.perf_counter() - began))
+        return result

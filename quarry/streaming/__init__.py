@@ -21,10 +21,14 @@ def matching(stream: DataFrame, schema: Schema, *filters) -> DataFrame:
 
 
 def upserts(stream: DataFrame, target: StoredCollection) -> DataStreamWriter:
-    """A writer that sets every record of the stream by its key. A micro-batch is one commit, so it is visible as a whole;
-    records of a batch pass through the driver, which bounds the size of a batch (set the source's rate limit)."""
+    """A writer that sets every record of the stream by its key. A micro-batch is one commit, so it is visible as a whole. It is
+    merged by a join; only where the target has hooks do its records pass through the driver, which bounds the size of a batch
+    (set the source's rate limit)."""
 
     def write(batch: DataFrame, _: int) -> None:
+        if not target.hooks:
+            target.merge(batch)
+            return
         names = [f.name for f in target.schema.fields]
         with target.store.update() as tx:
             for row in batch.toLocalIterator():
