@@ -19,7 +19,14 @@ with every other is done through a parse, so that only a phrase end in each stre
 * A trigger that occurs more than ``HOT`` times is looked at in ``PARTS`` ranges of the distance o, each with contexts cut
   to what that range can see, so that a passage with countless surroundings falls together again before it is shuffled.
 
-Cases: null texts are empty; documents shorter than LENGTH lose nothing; repeated rows are occurrences of each other;
+Passages. A run of 50 words can be shorter than LENGTH. The same parse over words (a hash each) instead of bytes finds the
+50-word sequences, whatever white space is between the words, that also occur in another document and do not lie within
+what is removed already. Triggers whose ten words occur in one document only, or only within removed bytes, are done; the
+others' sequences are compared by hashes of 64 bits; of those within removed bytes only the ones whose hash is marked as
+that of an open one. Marks are a table of fixed size that keeps rows from joins which can't find anything; when it fills up,
+with some hundred million keys, joins get more rows and find the same. They are reported and not removed.
+
+Cases: null texts are empty; rows with the same id and text are one document for passages; documents shorter than LENGTH lose nothing; repeated rows are occurrences of each other;
 strings never cross documents; a text of one repeated byte is handled like any other; null ids stay null. Only id and text
 are read.
 """
@@ -35,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, ship_package, shuffle_partitions, slices, whole_text
+from .common import discard, materialise, read_table, ship_package, shuffle_partitions, slices, whole_text
 
 LENGTH, WINDOW, GRAM = 400, 256, 16
 #: Occurrences from which a trigger's distances are looked at in parts, and how many parts.
@@ -67,6 +74,14 @@ class Rule:
         return [(1 + k, a, min(a + step, self.window) - 1) for k, a in enumerate(range(0, self.window, step))]
 
 
+#: Passages: words, with the places among which a trigger is chosen and the words that are hashed for it.
+PASSAGES = Rule(50, 41, 10)
+#: Names of rows (two numbers each) that are broadcast rather than joined by a shuffle of the texts.
+BROADCAST_ROWS = 1 << 20
+#: Places, as a power of two, of a table that marks hashes. It goes to the driver and the executors: 16 MB at any size.
+MARK_BITS = 27
+
+
 # the parse
 
 
@@ -281,33 +296,163 @@ def _decide(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
         yield flush(pa.Table.from_batches(held).combine_chunks())
 
 
+# passages of words
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and byte after the last (within its text) of every word, and the number of words of each text."""
+    sizes = np.array([len(x) + 1 for x in texts], np.int64)
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    letter = np.concatenate(([False], (data != 32) & ((data < 9) | (data > 13)), [False]))
+    edges = np.flatnonzero(letter[1:] != letter[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), dtype=np.uint64)))
+    hashes = (sums[ends] - sums[starts]) * _powers(pow(_BASE, -1, 1 << 64), len(data))[starts] * _MIX
+    base = np.cumsum(sizes) - sizes
+    of = np.searchsorted(base, starts, "right") - 1
+    return hashes ^ (hashes >> np.uint64(32)), starts - base[of], ends - base[of], np.bincount(of, minlength=len(texts))
+
+
+def _inside(runs: list[list[int]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the bytes from start to end lie within one of the runs, which are in order and apart."""
+    if not runs:
+        return np.zeros(len(start), bool)
+    a, z = np.array(runs, np.int64).T
+    at = np.searchsorted(a, start, "right") - 1
+    return (at >= 0) & (end <= z[np.maximum(at, 0)])
+
+
+def word_triggers(texts: list[bytes], runs: list[list[list[int]]], rule: Rule) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each text: key, first and last start of every trigger, whether each start is open (not within a removed run), and the words' bytes and hashes."""
+    hashes, begin, end, counts = words_of(texts)
+    base = np.cumsum(counts) - counts
+    of, _, first, key = triggers(hashes, base, counts, rule)
+    for k, n in enumerate(counts.tolist()):
+        own = slice(*np.searchsorted(of, (k, k + 1)).tolist())
+        b, z = begin[base[k] : base[k] + n], end[base[k] : base[k] + n]
+        starts = max(0, n - rule.length + 1)
+        open_ = ~_inside(runs[k], b[:starts], z[rule.length - 1 :]) if starts else np.zeros(0, bool)
+        yield key[own], first[own], np.append(first[own][1:], starts) - 1 if starts else first[own], open_, b, z, hashes[base[k] : base[k] + n]
+
+
 # the operator
 
 
-def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _runs(found: list[dict] | None) -> list[list[int]]:
+    runs: list[list[int]] = []
+    for a, z in sorted((x["a"], x["z"]) for x in found or ()):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], z)
+        else:
+            runs.append([a, z])
+    return runs
+
+
+def _remove(batches: Iterator[pa.RecordBatch], passages: Rule, whole: bool) -> Iterator[pa.RecordBatch]:
+    """For each row what is removed, and then a row for each key of its word triggers."""
+    schema = pa.schema([("dk", pa.int64()), ("tk", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))), ("sha", pa.string()), ("kept", pa.binary()), ("key", pa.int64()), ("open", pa.bool_())])
+    for batch in batches:
+        for part in slices(batch, "text", most=BYTES_AT_ONCE):
+            texts = part.column("text").to_pylist()
+            runs = [_runs(found) for found in part.column("spans").to_pylist()]
+            kept = [b"".join(text[a:z] for a, z in zip([0, *(z for _, z in own)], [*(a for a, _ in own), len(text)], strict=True)) for text, own in zip(texts, runs, strict=True)]
+            numbers = [[len(x) for x in texts], [sum(z - a for a, z in own) for own in runs], [len(own) for own in runs]]
+            none = lambda kind: pa.nulls(len(texts), kind)
+            shas = pa.array([hashlib.sha256(x).hexdigest() for x in kept])
+            yield pa.RecordBatch.from_arrays([part.column("dk"), part.column("tk"), *(pa.array(x, pa.int64()) for x in numbers), pa.array([[{"a": a, "z": z} for a, z in own] for own in runs], schema.field("spans").type), shas, pa.array(kept, pa.binary()) if whole else none(pa.binary()), none(pa.int64()), none(pa.bool_())], schema=schema)
+            of, keys, opens = [], [], []
+            for k, (key, first, last, open_, *_) in enumerate(word_triggers(texts, runs, passages)):
+                if len(key):
+                    before = np.concatenate(([0], np.cumsum(open_)))
+                    some = before[last + 1] > before[first]
+                    own, which = np.unique(key, return_inverse=True)
+                    of.append(np.full(len(own), k))
+                    keys.append(own)
+                    opens.append(np.bincount(which, some) > 0)
+            if of:
+                at = pa.array(np.concatenate(of))
+                rest = [pa.nulls(len(at), schema.field(c).type) for c in ("n_bytes", "n_removed", "n_spans", "spans", "sha", "kept")]
+                yield pa.RecordBatch.from_arrays([part.column("dk").take(at), part.column("tk").take(at), *rest, pa.array(np.concatenate(keys)), pa.array(np.concatenate(opens))], schema=schema)
+
+
+def _passage_starts(batches: Iterator[pa.RecordBatch], passages: Rule, marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The starts of the triggers with the keys asked for, with the hash of the words from there on: those that are open; with
+    ``marks``, the others whose hash is marked."""
     for batch in batches:
         for part in slices(batch, "text", most=BYTES_AT_ONCE):
-            kept, removed, spans = [], [], []
-            for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                runs: list[list[int]] = []
-                for s in sorted((x["a"], x["z"]) for x in found or ()):
-                    if runs and s[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s[1])
-                    else:
-                        runs.append([*s])
-                pieces, at = [], 0
-                for a, z in runs:
-                    pieces.append(text[at:a])
-                    at = z
-                kept.append(b"".join(pieces) + text[at:])
-                removed.append(sum(z - a for a, z in runs))
-                spans.append(len(runs))
-            columns = [part.column("dk"), part.column("tk"), pa.array([len(x) for x in part.column("text").to_pylist()], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["dk", "tk", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def remove_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
+            texts, runs = part.column("text").to_pylist(), [_runs(found) for found in part.column("spans").to_pylist()]
+            asked = part.column("keys").to_pylist()
+            of, places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for k, (key, first, last, open_, _, _, hashes) in enumerate(word_triggers(texts, runs, passages)):
+                some = np.isin(key, np.array(asked[k], np.int64))
+                if not some.any():
+                    continue
+                sizes = (last - first + 1)[some]
+                starts = np.repeat(first[some], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                hashed = rolling_hashes(hashes, passages.length)
+                starts = starts[open_[starts] if marks is None else ~open_[starts] & is_marked(marks, hashed[starts])]
+                of.append(np.full(len(starts), k))
+                places.append(starts)
+                found.append(hashed[starts])
+            at = pa.array(np.concatenate(of))
+            columns = [pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([part.column("dk").take(at), part.column("tk").take(at), *columns], names=["dk", "tk", "p", "h"])
+
+
+def is_marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(len(marks) * 64 - 1)
+    return (marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def marked(hashes: DataFrame, column: str, bits: int = MARK_BITS) -> np.ndarray:
+    """A table of 2**bits marks, whatever the number of hashes: a mark for the last bits of each."""
+    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("_q_place")
+    bit = F.expr("shiftleft(1L, cast(_q_place & 63 as int))")
+    found = hashes.select(place).groupBy(F.shiftright("_q_place", 6).alias("_q_at")).agg(F.bit_or(bit).alias("_q_bits")).toArrow()
+    marks = np.zeros(1 << (bits - 6), np.uint64)
+    marks[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    return marks
+
+
+def only_marked(rows: DataFrame, column: str, marks: np.ndarray) -> DataFrame:
+    """Rows whose hash has a mark: all whose hash was marked, and few others until the marks fill up."""
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_marked(shared.value, batch.column(column).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _passages(rows: DataFrame, spans: DataFrame, keyed: DataFrame, rule: Rule) -> DataFrame:
+    """dk, tk, starts: where open passages begin that occur in another document."""
+    document = F.struct("dk", "tk")
+    elsewhere = F.min(document) < F.max(document)
+    often = materialise(keyed.groupBy("key").agg(elsewhere.alias("two"), F.max("open").alias("open")).filter("two and open").select(F.col("key").alias("_q_key")), "suffix-passage-keys")
+    keyed = only_marked(keyed.select("dk", "tk", "key"), "key", marked(often, "_q_key"))
+    asked = keyed.join(often, keyed["key"] == often["_q_key"]).groupBy("dk", "tk").agg(F.collect_set("key").alias("keys"))
+    asked = materialise(asked, "suffix-passage-rows")
+    few = F.broadcast(asked.select("dk", "tk")) if asked.count() <= BROADCAST_ROWS else asked.select("dk", "tk")
+    # repeated rows are one document; what else is asked of a text is joined after it is known to be one of the few
+    texts = rows.join(few, ["dk", "tk"], "left_semi").join(asked, ["dk", "tk"]).join(spans.dropDuplicates(["dk", "tk"]), ["dk", "tk"], "left")
+    schema = "dk long, tk long, p int, h long"
+    starts = materialise(texts.mapInArrow(lambda b: _passage_starts(b, rule, None), schema), "suffix-passages")
+    # of the sequences within removed bytes only those count that may equal an open one
+    shared = rows.sparkSession.sparkContext.broadcast(marked(starts, "h"))
+    closed = materialise(texts.mapInArrow(lambda b: _passage_starts(b, rule, shared.value), schema), "suffix-passages-closed")
+    both = starts.select("h", "dk", "tk").union(closed.select("h", "dk", "tk"))
+    repeated = materialise(both.groupBy("h").agg(elsewhere.alias("two")).filter("two").select(F.col("h").alias("_q_h")), "suffix-passage-hashes")
+    met = only_marked(starts, "h", marked(repeated, "_q_h"))
+    met = met.join(repeated, met["h"] == repeated["_q_h"])
+    found = materialise(met.groupBy("dk", "tk").agg(F.sort_array(F.collect_set("p")).alias("starts")), "suffix-passage-starts")
+    discard(often, asked, starts, closed, repeated)
+    return found
+
+
+def remove_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", passages: Rule = PASSAGES, whole: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay; null unless ``whole``), n_passages and
+    n_passage_words (runs of words covered by open passages, and their words)."""
     spark = docs.sparkSession
     ship_package(spark)
     text = whole_text(text_col).cast("binary")
@@ -317,8 +462,10 @@ def remove_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     places = materialise(rows.mapInArrow(lambda b: _triggers_of(b, rule), "dk long, tk long, t int, first int, key long"), "suffix-triggers")
     # written, so that the join deals both sides out anew and can split a hot key
     often = materialise(places.groupBy("key").agg(F.count(F.lit(1)).alias("_q_n")).filter("_q_n > 1").select(F.col("key").alias("_q_key"), (F.col("_q_n") > rule.hot).alias("hot")), "suffix-keys")
-    candidates = places.join(often, places["key"] == often["_q_key"]).select("dk", "tk", F.struct("t", "first", "hot").alias("one"))
-    listed = candidates.groupBy("dk", "tk").agg(F.collect_set("one").alias("found"))
+    likely = only_marked(places, "key", marked(often, "_q_key"))
+    candidates = likely.join(often, likely["key"] == often["_q_key"]).select("dk", "tk", F.struct("t", "first", "hot").alias("one"))
+    listed = materialise(candidates.groupBy("dk", "tk").agg(F.collect_set("one").alias("found")), "suffix-candidates")
+    discard(places, often)
     dealt = rows.repartition(shuffle_partitions(spark), "dk", "tk")
     with_found = dealt.join(listed, ["dk", "tk"])
     contexts = with_found.mapInArrow(lambda b: _contexts_of(b, rule), "part int, e binary, r binary, n long")
@@ -331,10 +478,23 @@ def remove_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     decisions = ordered.mapInArrow(lambda b: _decide(b, rule), "context binary, low int, high int")
     occurrences = with_found.mapInArrow(lambda b: _occurrences_of(b, rule), "dk long, tk long, t int, part int, context binary")
     met = occurrences.join(decisions, "context").select("dk", "tk", F.struct((F.col("t") - F.col("high")).alias("a"), (F.col("t") - F.col("low") + rule.length).alias("z")).alias("span"))
-    spans = met.groupBy("dk", "tk").agg(F.collect_list("span").alias("spans"))
-    final = dealt.join(spans, ["dk", "tk"], "left").mapInArrow(lambda b: _remove(b, rule.length), "dk long, tk long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return final.select(F.when(F.col("tk").bitwiseAND(F.lit(1).cast("long")) == 0, F.col("dk")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    spans = met.groupBy("dk", "tk").agg(F.collect_set("span").alias("spans"))
+    schema = "dk long, tk long, n_bytes long, n_removed long, n_spans long, spans array<struct<a: int, z: int>>, sha string, kept binary, key long, open boolean"
+    last = materialise(dealt.join(spans, ["dk", "tk"], "left").mapInArrow(lambda b: _remove(b, passages, whole), schema), "suffix-removed")
+    starts = _passages(rows, last.filter("n_spans > 0").select("dk", "tk", "spans"), last.filter("key is not null").select("dk", "tk", "key", "open"), passages)
+    final = last.filter("key is null").join(starts, ["dk", "tk"], "left")
+    # runs of words that follow one another with a distance below the length are one
+    apart = F.size(F.filter(F.sequence(F.lit(1), F.size("starts")), lambda i: (i == 1) | (F.element_at("starts", i) - F.element_at("starts", F.greatest(i - 1, F.lit(1))) > passages.length)))
+    covered = F.aggregate(
+        F.sequence(F.lit(1), F.size("starts")), F.lit(0), lambda n, i: n + F.when(i == 1, F.lit(passages.length)).otherwise(F.least(F.lit(passages.length), F.element_at("starts", i) - F.element_at("starts", F.greatest(i - 1, F.lit(1))))).cast("int")
+    )
+    some = F.col("starts").isNotNull()
+    return final.select(
+        F.when(F.col("tk").bitwiseAND(F.lit(1).cast("long")) == 0, F.col("dk")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), "kept",
+        F.when(some, apart).otherwise(0).cast("long").alias("n_passages"), F.when(some, covered).otherwise(0).cast("long").alias("n_passage_words"),
+    )
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = remove_repeats(read_table(spark, sf_dir, "documents"), whole=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words", (F.col("n_spans") + F.col("n_passages")).alias("n_repeats"))

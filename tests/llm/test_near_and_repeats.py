@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -142,6 +143,46 @@ def repeats_by_hand(texts, n):
     return found
 
 
+def passages_by_hand(texts, n_bytes, n_words, words_pattern=rb"[^\x20\x09-\x0D]+"):
+    """Runs and words of word sequences that occur in another text and are not all removed, for different texts."""
+    words = [[(m.start(), m.end(), m.group()) for m in re.finditer(words_pattern, t)] for t in texts]
+    where = collections.defaultdict(set)
+    for k, w in enumerate(words):
+        for p in range(len(w) - n_words + 1):
+            where[tuple(x[2] for x in w[p : p + n_words])].add(k)
+    count = collections.Counter(t[p : p + n_bytes] for t in texts for p in range(len(t) - n_bytes + 1))
+    found = []
+    for k, (t, w) in enumerate(zip(texts, words, strict=True)):
+        gone = bytearray(len(t))
+        for p in range(len(t) - n_bytes + 1):
+            if count[t[p : p + n_bytes]] > 1:
+                gone[p : p + n_bytes] = b"\1" * n_bytes
+        hit = bytearray(len(w))
+        for p in range(len(w) - n_words + 1):
+            a, z = w[p][0], w[p + n_words - 1][1]
+            if len(where[tuple(x[2] for x in w[p : p + n_words])]) > 1 and not all(gone[a:z]):
+                hit[p : p + n_words] = b"\1" * n_words
+        found.append((sum(g and (not i or not hit[i - 1]) for i, g in enumerate(hit)), sum(hit)))
+    return found
+
+
+def test_passages(spark):
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randrange(1, 5)))
+    shared = [[word() for _ in range(r.randrange(8, 30))] for _ in range(8)]
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(r.randrange(6)):
+            words += r.choice(shared) if r.random() < 0.5 else [word() for _ in range(r.randrange(1, 25))]
+        texts.append("".join(w + r.choice([" ", " ", "\n", "  "]) for w in words) + str(len(texts)))
+    texts += ["", None, " ".join(shared[0]), "  ".join(shared[0])]
+    got = sorted(suffix.remove_repeats(frame(spark, texts), suffix.Rule(60, 40, 4), passages=suffix.Rule(10, 7, 4)).collect(), key=lambda x: x.doc_id)
+    want = passages_by_hand([(t or "").encode() for t in texts], 60, 10)
+    assert [(x.n_passages, x.n_passage_words) for x in got] == want and sum(n > 0 for n, _ in want) > 20
+    assert [(x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got] == repeats_by_hand([(t or "").encode() for t in texts], 60)
+
+
 @pytest.mark.parametrize("hot, alphabet", [(10**6, "abc é"), (2, "ab"), (2, "abcdefghij é")])
 def test_repeats(spark, hot, alphabet):
     r = random.Random(5)
@@ -179,6 +220,8 @@ def test_repeats_on_documents(spark):
     got = {x.doc_id: x for x in suffix.op6_suffix(spark, str(DATA)).collect()}
     for d, (n, removed, spans, kept) in zip(docs, want, strict=True):
         assert (got[d.doc_id].n_bytes, got[d.doc_id].n_removed, got[d.doc_id].n_spans, got[d.doc_id].kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
+    words = passages_by_hand([d.text.encode() for d in docs], 400, 50)
+    assert [(got[d.doc_id].n_passages, got[d.doc_id].n_passage_words) for d in docs] == words
 
 
 @pytest.mark.parametrize("call", [simhash.simhash_near_dedup, simhash.drop_near_duplicates, suffix.remove_repeats])
