@@ -103,6 +103,12 @@ def bit_planes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(planes).view(np.uint64).reshape(64, words), filled
 
 
+def wide_planes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Planes of fingerprints of several words (words by rows), one word's after another's."""
+    both = [bit_planes(word) for word in words]
+    return np.concatenate([p for p, _ in both]), both[0][1]
+
+
 def near_words(queries: np.ndarray, planes: np.ndarray, filled: np.ndarray, query_of: np.ndarray, word_of: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compare queries (one row of numbers for each 64 planes) with words of 64 rows, pair by pair. Pairs with a row within the radius, and which rows those are."""
     queries = np.atleast_2d(queries)
@@ -140,9 +146,10 @@ def _above(counter: Sequence[np.ndarray], radius: int) -> np.ndarray:
 def spanning_edges(rows: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Edges (index pairs) that connect exactly the rows that links within the radius connect. A search spreads from one row
     at a time over the rows not reached yet, so a dense group is reached in few steps and never listed pair by pair."""
-    planes, free = bit_planes(rows)
+    rows = np.atleast_2d(rows)
+    planes, free = wide_planes(rows)
     edges, words = [], len(free)
-    for seed in range(len(rows)):
+    for seed in range(rows.shape[1]):
         if not free[seed >> 6] >> np.uint64(seed & 63) & np.uint64(1):
             continue
         free[seed >> 6] &= ~(np.uint64(1) << np.uint64(seed & 63))
@@ -154,7 +161,7 @@ def spanning_edges(rows: np.ndarray, radius: int = RADIUS) -> list[tuple[int, in
             for i in range(0, len(front), step):
                 part = front[i : i + step]
                 q, w = np.repeat(np.arange(len(part)), len(open_words)), np.tile(open_words, len(part))
-                _, hit, bits = near_words(rows[part], planes, free, q, w, radius)
+                _, hit, bits = near_words(rows[:, part], planes, free, q, w, radius)
                 np.bitwise_or.at(reached, hit, bits)
                 free &= ~reached
                 open_words = np.flatnonzero(free)

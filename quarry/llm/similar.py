@@ -7,14 +7,16 @@ Fingerprints. ``WORDS`` times 64 SimHash bits over the different shingles of a t
 angle / pi, and sets at similarity 0.8 are an angle of arccos(8/9) apart, so they differ in 39 of 256 bits on average;
 ``RADIUS`` lies more than two standard deviations above.
 
-Candidates. A key is a choice of the fingerprint's bits. With the number of rows the number of bits grows, so that a key
+Families. A key is a choice of the fingerprint's bits. With the number of rows the number of bits grows, so that a key
 holds about ``KEY_ROWS`` rows, and with the bits the number of keys, so that texts at similarity 0.8 share one with
 probability ``RECALL`` (more similar ones with more). The rows of a key are compared by the bit-sliced counters of
-``simhash``; no key is capped, and large ones are dealt out in pairs of parts. Recall is a matter of chance and no less at
-any size; the README has what was measured.
+``simhash``, reduced to a spanning forest at once; no key is capped, and large ones are dealt out in pairs of parts. What
+the forests of all keys connect is a family. Recall is a matter of chance and no less at any size; the README has what was
+measured.
 
-Pairs. In ``LEADERS`` rounds each row meets only the first row of another component within the radius, so groups of copies
-cost pairs in proportion to their rows. At last all pairs within the radius that are not in one component are checked.
+Links. The rows of a family meet once with their texts (large families in pairs of parts), and shingle sets are intersected
+through an index from shingle to rows. A row that is asked joins all rows similar to it; rows of the largest component
+needn't be asked, since all others are, so a family of copies costs a few questions and no list of pairs.
 
 Cases: null texts count as empty; texts without words are equal to each other; texts of fewer than five words have their
 whole sequence as the only shingle; components are told apart by a row of their own, so ids may be null or repeated; any
@@ -32,18 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, named, ship_package, shuffle_partitions, slices, unused
-from .simhash import SPLIT_ROWS, bit_planes, components, near_words, split_keys
+from .common import materialise, named, ship_package, shuffle_partitions, slices, unused
+from .simhash import SPLIT_ROWS, components, near_words, spanning_edges, split_keys, wide_planes
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: 64-bit words of a fingerprint, and differing bits up to which shingles are looked at.
 WORDS, RADIUS = 4, 52
 #: Rows that a key is planned to hold, and the planned share of pairs at LEAST that meet in a key.
 KEY_ROWS, RECALL = 512, 0.99
-#: Rounds in which rows meet only the first row within the radius.
-LEADERS = 3
 #: Rows of a key up to which all pairs are compared at once, and words that one comparison takes.
 SMALL, PAIRS_AT_ONCE = 4096, 1 << 15
+#: Rows and bytes of text of a family that are one part.
+PART_ROWS, PART_BYTES = 1 << 10, 8 << 20
 #: Row numbers that are broadcast rather than joined by a shuffle of the texts.
 BROADCAST_ROWS = 1 << 18
 #: Shingle hashes that are counted at once.
@@ -86,15 +88,6 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
     return np.where(counts * 2 > len(hashes), _BIT, np.uint64(0)).sum(1, dtype=np.uint64)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard similarity of two shingle sets is ``LEAST`` or more, in whole numbers."""
-    few, many = sorted((len(a), len(b)))
-    if 5 * few < 4 * many:
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 5 * common >= 4 * (few + many - common)
-
-
 def printed(rows: DataFrame) -> DataFrame:
     """_q_row and the fingerprint words (as signed longs) of every row of ``rows`` (_q_row, _q_text)."""
 
@@ -125,8 +118,8 @@ def key_masks(n: int, key_rows: int = KEY_ROWS, recall: float = RECALL) -> list[
     return masks
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Key sizes, labels, rows and fingerprints (words by rows) of some keys at a time, from rows sorted by key."""
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Key sizes, rows and fingerprints (words by rows) of some keys at a time, from rows sorted by key."""
     held: list[np.ndarray] = []
     waiting = 0
     for batch in itertools.chain(batches, [None]):
@@ -144,33 +137,25 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         cut = data.shape[1] if batch is None else int(change[-1])
         held, waiting = ([data[:, cut:]], data.shape[1] - cut) if cut < data.shape[1] else ([], 0)
         if cut:
-            sizes = np.diff(np.concatenate(([0], change[change < cut], [cut])))
-            yield sizes, data[2, :cut], data[3, :cut], data[4:, :cut].view(np.uint64)
-
+            yield np.diff(np.concatenate(([0], change[change < cut], [cut]))), data[2, :cut], data[3:, :cut].view(np.uint64)
 
-def _planes(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = [bit_planes(word) for word in prints]
-    return np.concatenate([p for p, _ in both]), both[0][1]
 
-
-def pairs_within(prints: np.ndarray, sizes: np.ndarray, labels: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (a before b) within the radius, with different labels and in one key; rows come by key and label."""
-    n, starts = len(labels), np.cumsum(sizes) - sizes
+def pairs_within(prints: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (a before b) within the radius and in one key; the rows of a key follow one another."""
+    n, starts = prints.shape[1], np.cumsum(sizes) - sizes
     words = -(-sizes // 64)
-    shift = np.cumsum(words) * 64 - words * 64 - starts
     key = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(n) + shift[key]
+    place = np.arange(n) + (np.cumsum(words) * 64 - words * 64 - starts)[key]
     padded = np.zeros((len(prints), int(words.sum()) * 64), np.uint64)
     padded[:, place] = prints
-    planes, _ = _planes(padded)
+    planes, _ = wide_planes(padded)
     row_at = np.zeros(padded.shape[1], np.int64)
     row_at[place] = np.arange(n)
     filled = np.packbits(np.bincount(place, minlength=padded.shape[1]).astype(bool).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).ravel()
-    # a row is compared with those after the last one of its label
-    last = np.flatnonzero(np.concatenate(((labels[1:] != labels[:-1]) | (key[1:] != key[:-1]), [True])))
-    after = last[np.searchsorted(last, np.arange(n))] + 1 + shift[key]
-    first, end = after >> 6, np.cumsum(words)[key]
-    each = np.maximum(end - first, 0)
+    # a row is compared with those after it
+    after = place + 1
+    first = after >> 6
+    each = np.maximum(np.cumsum(words)[key] - first, 0)
     upto = np.concatenate(([0], np.cumsum(each)))
     at = 0
     while at < n:
@@ -186,87 +171,112 @@ def pairs_within(prints: np.ndarray, sizes: np.ndarray, labels: np.ndarray, radi
         at = z
 
 
-def leaders(prints: np.ndarray, labels: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Of one key: the first row of a label takes the free rows within the radius, and so on with the first row left free."""
-    planes, free = _planes(prints)
-    edges, n = [], len(labels)
-    ends = np.concatenate((np.flatnonzero(labels[1:] != labels[:-1]) + 1, [n]))
-    start = 0
-    for end in ends.tolist():
-        seed = next((i for i in range(start, end) if free[i >> 6] >> np.uint64(i & 63) & np.uint64(1)), None)
-        for i in range(start, end):
-            free[i >> 6] &= ~_BIT[i & 63]
-        start = end
-        if seed is None:
-            continue
-        words = np.flatnonzero(free)
-        _, w, bits = near_words(prints[:, seed : seed + 1], planes, free, np.zeros(len(words), np.int64), words, radius)
-        free[w] &= ~bits
-        some, bit = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")) if len(bits) else (np.zeros(0, int), np.zeros(0, int))
-        edges += [(seed, int(k)) for k in w[some] * 64 + bit]
-    return edges
-
-
-def _met_in_keys(batches: Iterator[pa.RecordBatch], every: bool, radius: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows to check; rows that have a neighbour at all are also paired with themselves."""
-    for sizes, labels, rows, prints in _whole_keys(batches):
+def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each row's is the least row of its component) after joining the rows a with the rows b."""
+    while True:
+        low, high = np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])
+        differ = low < high
+        if not differ.any():
+            return labels
+        np.minimum.at(labels, high[differ], low[differ])
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+
+
+def _forests(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Edges that connect what links within the radius connect, key by key."""
+    for sizes, rows, prints in _whole_keys(batches):
         starts = np.cumsum(sizes) - sizes
-        at_once = (sizes > 1) & ((sizes <= SMALL) | every)
-        own = np.flatnonzero(np.repeat(at_once, sizes))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        if every:
-            found += ((own[a], own[b]) for a, b in pairs_within(prints[:, own], sizes[at_once], labels[own], radius))
-        elif len(own):
-            least, near = np.full(len(own), len(own)), np.zeros(len(own), bool)
-            for a, b in pairs_within(prints[:, own], sizes[at_once], labels[own], radius):
-                np.minimum.at(least, b, a)
-                near[a] = near[b] = True
-            b = np.flatnonzero(least < len(own))
-            found += [(own[least[b]], own[b]), (own[near], own[near])]
-        if not every:
-            for k in np.flatnonzero(sizes > SMALL):
-                part = slice(int(starts[k]), int(starts[k] + sizes[k]))
-                edges = np.array(leaders(prints[:, part], labels[part], radius), np.int64).reshape(-1, 2) + starts[k]
-                everyone = np.arange(part.start, part.stop)
-                found += [(edges[:, 0], edges[:, 1]), (everyone, everyone)]
+        small = (sizes > 1) & (sizes <= SMALL)
+        own = np.flatnonzero(np.repeat(small, sizes))
+        labels = np.arange(len(own))
+        for a, b in pairs_within(prints[:, own], sizes[small], radius):
+            labels = join_labels(labels, a, b)
+        b = np.flatnonzero(labels < np.arange(len(own)))
+        found = [(own[labels[b]], own[b])]
+        for k in np.flatnonzero(sizes > SMALL):
+            edges = np.array(spanning_edges(prints[:, starts[k] : starts[k] + sizes[k]], radius), np.int64).reshape(-1, 2) + starts[k]
+            found.append((edges[:, 0], edges[:, 1]))
         for a, b in found:
-            for i in range(0, len(a), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[a[i : i + (1 << 16)]]), pa.array(rows[b[i : i + (1 << 16)]])], names=["_q_a", "_q_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[a]), pa.array(rows[b])], names=["_q_a", "_q_b"])
 
 
-def _met(own: DataFrame, masks: list[list[int]], turn: int, every: bool, radius: int, split_rows: int) -> DataFrame:
-    """Pairs (_q_a, _q_b) of the labelled rows ``own`` that are to be checked, and (row, row) for rows with a neighbour. Which row
-    of a key comes first is drawn anew in each turn."""
+def families(prints: DataFrame, n: int, key_rows: int = KEY_ROWS, split_rows: int = SPLIT_ROWS, radius: int = RADIUS) -> DataFrame:
+    """vertex, root of the rows that links within the radius connect with another, for ``n`` rows (_q_row and the fingerprint)."""
+    masks = key_masks(n, key_rows)
     keys = F.array(*(F.xxhash64(F.lit(i), *(F.col(p).bitwiseAND(F.lit(m).cast("long")) for p, m in zip(PRINTS, mask, strict=True) if m)) for i, mask in enumerate(masks)))
-    listed = own.select("_q_label", "_q_row", *PRINTS, F.posexplode(keys).alias("_q_kind", "_q_key"))
-    tasks = split_keys(listed, F.col("_q_row"), split_rows).select("_q_kind", "_q_task", "_q_label", "_q_row", *PRINTS)
-    order = F.xxhash64(F.lit(turn), "_q_label")
-    dealt = tasks.repartition(shuffle_partitions(own.sparkSession), "_q_kind", "_q_task").sortWithinPartitions("_q_kind", "_q_task", order, "_q_label", "_q_row")
-    met = dealt.mapInArrow(lambda batches: _met_in_keys(batches, every, radius), "_q_a long, _q_b long")
-    return met.select(F.least("_q_a", "_q_b").alias("_q_a"), F.greatest("_q_a", "_q_b").alias("_q_b")).distinct()
+    listed = prints.select("_q_row", *PRINTS, F.posexplode(keys).alias("_q_kind", "_q_key"))
+    tasks = split_keys(listed, F.col("_q_row"), split_rows).select("_q_kind", "_q_task", "_q_row", *PRINTS)
+    dealt = tasks.repartition(shuffle_partitions(prints.sparkSession), "_q_kind", "_q_task").sortWithinPartitions("_q_kind", "_q_task")
+    return components(dealt.mapInArrow(lambda batches: _forests(batches, radius), "_q_a long, _q_b long"))
 
 
 # links and components
 
 
-def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (_q_a, _q_b) whose texts are similar; rows of one _q_a mostly follow one another and are cut into shingles once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            kept = []
-            left, right = batch.column("_q_a").to_pylist(), batch.column("_q_b").to_pylist()
-            for i, (a, b) in enumerate(zip(left, right, strict=True)):
-                if a != held:
-                    held, own = a, shingles(batch.column("_q_text")[i].as_py() or b"")
-                if similar(own, shingles(batch.column("_q_other")[i].as_py() or b"")):
-                    kept.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], names=["_q_a", "_q_b"])
-
-    others = texts.select(F.col("_q_row").alias("_q_b"), F.col("_q_text").alias("_q_other"))
-    owns = texts.select(F.col("_q_row").alias("_q_a"), "_q_text")
-    return pairs.join(others, "_q_b").join(owns, "_q_a").select("_q_a", "_q_text", "_q_b", "_q_other").mapInArrow(run, "_q_a long, _q_b long")
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that connect exactly the shingle sets that similarities of ``LEAST`` or more connect."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    values, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)[np.argsort(token, kind="stable")]
+    ends = np.cumsum(np.bincount(token, minlength=len(values)))
+    first = np.cumsum(sizes) - sizes
+    labels, asked, edges = np.arange(n), np.zeros(n, bool), []
+    while True:
+        open_rows = np.flatnonzero(~asked & (labels != np.bincount(labels).argmax()))
+        if not len(open_rows):
+            return edges
+        x = int(open_rows[0])
+        asked[x] = True
+        own = token[first[x] : first[x] + sizes[x]]
+        counts = ends[own] - np.concatenate(([0], ends))[own]
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - ends[own], counts)
+        common = np.bincount(owner[at], minlength=n)
+        near = np.flatnonzero((5 * common >= 4 * (sizes + sizes[x] - common)) & (labels != labels[x]))
+        _, one = np.unique(labels[near], return_index=True)
+        for y in near[one].tolist():
+            edges.append((x, y))
+            labels[labels == labels[y]] = labels[x]
+
+
+def _links_in_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the families (_q_root, _q_task) of a partition, whose rows follow one another; texts are cut into shingles as they come."""
+    held, rows, sets = None, [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            edges = similar_links(sets)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["_q_a", "_q_b"])
+        rows.clear()
+        sets.clear()
+
+    for batch in batches:
+        for root, task, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            if held != (root, task):
+                yield from flush()
+                held = root, task
+            rows.append(row)
+            sets.append(shingles(text.as_py() or b""))
+    yield from flush()
+
+
+def links(rows: DataFrame, members: DataFrame, part_rows: int = PART_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Edges (_q_a, _q_b) between similar rows of a family, for ``rows`` (_q_row, _q_text) and ``members`` (vertex, root)."""
+    chosen = members.select(F.col("vertex").alias("_q_row"), F.col("root").alias("_q_root"))
+    with_root = _among(rows, chosen, "inner")
+    sized = with_root.withColumn("_q_bytes", F.coalesce(F.octet_length("_q_text"), F.lit(0)))
+    sizes = sized.groupBy("_q_root").agg(F.count(F.lit(1)).alias("_q_n"), F.sum("_q_bytes").alias("_q_sum"))
+    parts = F.greatest(F.ceil(F.col("_q_n") / part_rows), F.ceil(F.col("_q_sum") / part_bytes)).cast("int")
+    large = materialise(sizes.select("_q_root", parts.alias("_q_parts")).filter("_q_parts > 1"), "similar-large")
+    if large.isEmpty():
+        tasks = with_root.withColumn("_q_task", F.lit(0).cast("long"))
+    else:  # a row of part i goes to the tasks (i, j) and (j, i) of every part j
+        marked = with_root.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "_q_root", "left").withColumn("_q_parts", F.coalesce("_q_parts", F.lit(1)))
+        own = F.pmod(F.xxhash64(F.lit(2), "_q_row"), F.col("_q_parts"))
+        paired = marked.withColumn("_q_own", own).withColumn("_q_other", F.explode(F.sequence(F.lit(0), F.col("_q_parts") - 1)))
+        tasks = paired.withColumn("_q_task", (F.least("_q_own", "_q_other") * F.col("_q_parts") + F.greatest("_q_own", "_q_other")).cast("long"))
+    dealt = tasks.select("_q_root", "_q_task", "_q_row", "_q_text").repartition(shuffle_partitions(rows.sparkSession), "_q_root", "_q_task").sortWithinPartitions("_q_root", "_q_task")
+    return dealt.mapInArrow(_links_in_families, "_q_a long, _q_b long")
 
 
 def _among(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
@@ -274,33 +284,10 @@ def _among(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, "_q_row", how)
 
 
-def similar_components(rows: DataFrame, rounds: int = LEADERS, key_rows: int = KEY_ROWS, split_rows: int = SPLIT_ROWS, radius: int = RADIUS) -> DataFrame:
+def similar_components(rows: DataFrame, key_rows: int = KEY_ROWS, split_rows: int = SPLIT_ROWS, radius: int = RADIUS, part_rows: int = PART_ROWS) -> DataFrame:
     """vertex, root for every row of ``rows`` (_q_row, _q_text) that is similar to another."""
-    living = materialise(printed(rows), "similar-prints")
-    masks = key_masks(living.count(), key_rows)
-    labels = texts = tried = links = None
-    for turn in range(rounds + 1):
-        own = living.withColumn("_q_label", F.col("_q_row"))
-        if labels is not None:
-            own = living.join(labels, living["_q_row"] == labels["vertex"], "left").select("_q_row", *PRINTS, F.coalesce("root", "_q_row").alias("_q_label"))
-        met = materialise(_met(own, masks, turn, turn == rounds, radius, split_rows), "similar-met")
-        if turn == 0 and rounds:  # a row without a neighbour now has none later
-            near = materialise(met.filter("_q_a = _q_b").select(F.col("_q_a").alias("_q_row")), "similar-near")
-            living = materialise(_among(living, near, "left_semi"), "similar-living")
-        if texts is None:
-            chosen = materialise(met.select(F.explode(F.array("_q_a", "_q_b")).alias("_q_row")).distinct(), "similar-rows")
-            texts = materialise(_among(rows, chosen, "left_semi"), "similar-texts")
-        pairs = met.filter("_q_a < _q_b")
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["_q_a", "_q_b"], "left_anti"), "similar-pairs")
-        discard(met)
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        found = materialise(checked(pairs, texts), "similar-links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    discard(texts)
-    return labels if labels is not None else living.select(F.col("_q_row").alias("vertex"), F.col("_q_row").alias("root")).limit(0)
+    prints = materialise(printed(rows), "similar-prints")
+    return components(links(rows, families(prints, prints.count(), key_rows, split_rows, radius), part_rows))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quarry.llm import similar
+from quarry.llm import simhash, similar
 
 
 def frame(spark, texts, ids):
@@ -44,13 +44,12 @@ def edited(r, text, changes):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_components_by_hand(spark, rounds):
+def test_components_by_hand(spark):
     r = random.Random(3)
     bases = [" ".join(f"w{r.randrange(3000)}" for _ in range(r.choice([40, 100, 300]))) for _ in range(14)]
     texts = bases + [edited(r, b, k) for b in bases for k in (1, 2, 3)] + ["", None, "a b", "A  b", "a c"]
     rows = spark.createDataFrame([(i, (t or "").encode()) for i, t in enumerate(texts)], "_q_row long, _q_text binary")
-    got = {x.vertex: x.root for x in similar.similar_components(rows, rounds).collect()}
+    got = {x.vertex: x.root for x in similar.similar_components(rows).collect()}
     want = roots([sets(t) for t in texts])
     assert 20 < len(set(want)) < len(texts) - 10
     assert [got.get(i, i) for i in range(len(texts))] == want
@@ -102,35 +101,55 @@ def test_wide_prints_by_hand():
         assert similar.wide_print(hashes).tolist() == want
 
 
-def test_pairs_within_a_radius_by_hand():
+def test_pairs_and_forests_by_hand():
     r = np.random.default_rng(9)
     sizes = np.array([1, 200, 3, 70, 64])
     key = np.repeat(np.arange(5), sizes)
     prints = r.integers(0, 1 << 63, (3, len(key)), np.uint64)
-    for _ in range(600):  # near copies of earlier rows
+    for _ in range(600):  # near copies of other rows
         a, b = r.integers(0, len(key), 2)
         prints[:, a] = prints[:, b]
         prints[r.integers(0, 3), a] ^= np.uint64(int(r.integers(0, 1 << 8)))
-    labels = np.concatenate([np.sort(r.integers(0, max(1, n // 3), n)) for n in sizes.tolist()])
     distance = lambda i, j: sum((int(x) ^ int(y)).bit_count() for x, y in zip(prints[:, i], prints[:, j], strict=True))
-    near = {(i, j) for j in range(len(key)) for i in range(j) if key[i] == key[j] and labels[i] != labels[j] and distance(i, j) <= 9}
-    got = [p for a, b in similar.pairs_within(prints, sizes, labels, 9) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    near = {(i, j) for j in range(len(key)) for i in range(j) if key[i] == key[j] and distance(i, j) <= 9}
+    got = [p for a, b in similar.pairs_within(prints, sizes, 9) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert len(got) == len(set(got)) and set(got) == near and len(near) > 60
-    part = slice(1, 201)
-    edges = similar.leaders(prints[:, part], labels[part], 9)
-    assert all(labels[1 + a] != labels[1 + b] and distance(1 + a, 1 + b) <= 9 for a, b in edges)
-    edges = similar.leaders(prints[:, part], np.arange(200), 9)  # each row a component of its own
-    reached = {k for edge in edges for k in edge}
-    assert all({i, j} & reached for j in range(200) for i in range(j) if distance(1 + i, 1 + j) <= 9) and edges
-
-
-@pytest.mark.parametrize("key_rows, split_rows", [(4, 1 << 15), (512, 10)])
-def test_small_keys_and_parts_of_keys(spark, key_rows, split_rows):
+    want = [0] * len(key)
+    for i in range(len(key)):
+        want[i] = min([i] + [j for j in range(i) if (j, i) in near])
+    labels = np.arange(len(key))
+    for a, b in similar.pairs_within(prints, sizes, 9):
+        labels = similar.join_labels(labels, a, b)
+    by_edges = np.arange(len(key))
+    edges = simhash.spanning_edges(prints[:, 1:201], 9)
+    by_edges = similar.join_labels(by_edges, np.array([1 + a for a, _ in edges]), np.array([1 + b for _, b in edges]))
+    assert (by_edges[1:201] == labels[1:201]).all() and labels.tolist() == joined(len(key), near) and all(w >= x for w, x in zip(want, labels, strict=True))
+
+
+def joined(n, pairs):
+    label = list(range(n))
+    for a, b in sorted(pairs):
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    return label
+
+
+def test_links_of_a_family_by_hand():
+    r = random.Random(12)
+    for n in (1, 2, 30, 90):
+        base = [r.getrandbits(64) for _ in range(60)]
+        sets = [np.array(sorted({x if r.random() > 0.08 else r.getrandbits(64) for x in base}), np.uint64) for _ in range(n)]
+        near = {(i, j) for j in range(n) for i in range(j) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8}
+        assert joined(n, similar.similar_links(sets)) == joined(n, near) and len(similar.similar_links(sets)) < n
+
+
+@pytest.mark.parametrize("key_rows, split_rows, part_rows", [(4, 1 << 15, 1 << 10), (512, 10, 2), (512, 1 << 15, 3)])
+def test_small_keys_and_parts_of_keys(spark, key_rows, split_rows, part_rows):
     r = random.Random(11)
     bases = [" ".join(f"w{r.randrange(3000)}" for _ in range(100)) for _ in range(12)]
-    texts = bases + [edited(r, b, 1) for b in bases] * 2
+    texts = bases + [edited(r, b, k) for b in bases for k in (1, 2, 4)] * 2
     rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "_q_row long, _q_text binary")
-    got = {x.vertex: x.root for x in similar.similar_components(rows, key_rows=key_rows, split_rows=split_rows).collect()}
+    got = {x.vertex: x.root for x in similar.similar_components(rows, key_rows, split_rows, part_rows=part_rows).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == roots([sets(t) for t in texts])
 
 
