@@ -90,7 +90,7 @@ def feature_blocks(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndar
     _, same, times = np.unique(words ^ (of.astype(np.uint64) * _MIX), return_inverse=True, return_counts=True)
     share = np.log2(total[of] / times[same]).astype(np.int64)
     shape = _slot((np.minimum(ends - starts, 15) * 64 + share).astype(np.uint64), 2)
-    again = _slot((share * 2 + np.concatenate(([False], words[1:] == words[:-1]))).astype(np.uint64), 5)
+    again = _slot((share * 2 + np.concatenate(([False], (words[1:] == words[:-1]) & (of[1:] == of[:-1])))).astype(np.uint64), 5)
     for _ in range(SHAPE_TIMES):
         yield shape, of
         yield again, of

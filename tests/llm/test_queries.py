@@ -1,11 +1,13 @@
 """The registered queries over whole small tables against plain code, and columns with awkward names."""
 
 import hashlib
+import re
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 
 from quarry import llm
 from quarry.llm import arrow_output, bpe, exact_dedup, media, mixing, pii, quality, simhash
@@ -37,6 +39,35 @@ def test_op1(spark, texts):
         assert (r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (sha(full), zlib.crc32(full[-64:]), len(stored), sha(stored))
 
 
+def test_op1_features(spark, texts):
+    """The feature from the payload in plain loops: its bytes are rows of 64 blocks of 8 x 8 pixels, and cells of an 8 x 8 grid above the mean are set."""
+    for r in media.op1_media(spark, DATA).collect():
+        payload = media.padded(texts[r.doc_id].encode())
+        rows = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+        cells = []
+        for i in range(8):
+            own = rows[i * len(rows) // 8 : max((i + 1) * len(rows) // 8, i * len(rows) // 8 + 1)]
+            cells += [sum(sum(x[8 * j : 8 * j + 8]) for x in own) / len(own) / 8 for j in range(8)]
+        bits = int("".join("01"[int(c > np.mean(cells))] for c in cells), 2)
+        assert r.feature == f"512x{8 * len(rows)}:{bits:016x}"
+
+
+def test_op3(spark, texts):
+    prints = {}
+    for i, text in texts.items():
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        words = re.findall(r"[^\x20\x09-\x0D]+", words)
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 4]).encode(), 42) for k in range(max(1, len(words) - 3))] if words else [0]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    least = {i: i for i in texts}
+    while True:  # the smallest id spreads over links until nothing changes
+        after = {i: min(least[j] for j in texts if (prints[i] ^ prints[j]).bit_count() <= 4) for i in texts}
+        if after == least:
+            break
+        least = after
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op3_simhash(spark, DATA).collect()} == {i: (f"{prints[i]:016x}", least[i]) for i in texts}
+
+
 def test_op4(spark, texts):
     coder = bpe.encoding(bpe.default_ranks(), bpe.default_pattern())
     for r in bpe.op4_bpe(spark, DATA).collect():
