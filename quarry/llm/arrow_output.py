@@ -9,8 +9,8 @@ a task that runs again replaces its files by equal ones.
 Tokenizing goes through the tokenizers library, word by word: neither its normalizer nor its pre-splitting pattern joins
 anything across white space, so a text's ids are those of its words in a row. A single mark beside letters or digits is a
 match of its own and may be parted from them too. Words are looked up in a bounded table, and those not in it are encoded
-together. A text with unusual white space, a letter whose lower case depends on others, or what may open a special token
-goes to the library as a whole.
+together. A text with unusual white space, a letter whose lower case depends on others, a sign that the library's Unicode
+tables don't know, or what may open a special token goes to the library as a whole.
 
 Cases: null and empty texts have the end id only; null doc_ids come first; rows with the same id follow one another, in
 order of a hash of their texts; an empty table writes empty files. Ids of up to 16 bits are stored in 16 bits.
@@ -21,9 +21,10 @@ from __future__ import annotations
 import functools
 import os
 import re
+import sys
 import unicodedata
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,29 @@ WORDS, TOGETHER = 400_000, 256
 
 #: White space that Python's split() knows otherwise than the library, and letters whose lower case depends on others.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\u03a3\u0130]")
+_ASCII_UNUSUAL = re.compile("[\x1c-\x1f]")
 #: A mark next to another sign: together they are one match of the pattern and must not be parted.
 _MARKS_TOGETHER = re.compile(r"[.,;:!?](?=[^\s\w]|_)|(?:[^\s\w]|_)(?=[.,;:!?])")
 
 
+def marks_unknown_to(normalize: Callable[[str], str]) -> str:
+    """Signs that another NFC orders or composes otherwise than Python's, as its tables are of another version of Unicode."""
+    found = set()
+    for code in range(0x300, sys.maxunicode + 1):
+        sign = chr(code)
+        order, parts = unicodedata.combining(sign), unicodedata.decomposition(sign)
+        pair = ""
+        if order:
+            pair = sign + "\u0334" if order > 1 else "\u0301" + sign
+            if normalize(pair) != unicodedata.normalize("NFC", pair):
+                found.add(sign)
+        if parts and parts[0] != "<" and " " in parts:
+            pair = unicodedata.normalize("NFD", sign)
+            if normalize(pair) != unicodedata.normalize("NFC", pair):
+                found.update(pair[1:])
+    return "".join(sorted(found))
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -57,7 +77,7 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         # words of letters that are in lower case and normal form need the model alone
@@ -67,6 +87,8 @@ class WordTokenizer:
         self.type = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        unknown = marks_unknown_to(normalizers.NFC().normalize_str)
+        self.unknown = re.compile(f"[{re.escape(unknown)}]" if unknown else r"(?!)")
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -79,7 +101,7 @@ class WordTokenizer:
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The packed ids of each text, without an end id."""
         normal = [unicodedata.normalize("NFC", t or "") for t in texts]
-        split = [None if _UNUSUAL.search(t) or "<|" in t else _words(t) for t in normal]
+        split = [None if "<|" in t or not t.isascii() and (_UNUSUAL.search(t) or self.unknown.search(t)) or _ASCII_UNUSUAL.search(t) else _words(t) for t in normal]
         new = set().union(*(words for words in split if words)) - self.words.keys()
         if len(self.words) + len(new) > WORDS:  # words of the table before last are forgotten
             self.words, self.before = {}, self.words

@@ -1,11 +1,14 @@
 """Media, tokens, classifier and personal data: round trips, the libraries themselves and held-out accuracy."""
 
+import collections
 import hashlib
+import math
 import os
 import random
 import re
 import struct
 import time
+import unicodedata
 import zlib
 from pathlib import Path
 
@@ -188,6 +191,69 @@ def test_the_classifier_learns():
     assert quality.score_texts([b"some text here"], model.folded())[0] == pytest.approx(np.exp(logits[1]) / np.exp(logits).sum())
 
 
+def features_by_hand(text):
+    """Table rows of a text's features, one by one in plain whole numbers, with the kinds in any order."""
+    wrap, mix, base = 2**64, int(quality._MIX), int(quality._BASE)
+
+    def slot(h, kind):
+        h = (h + kind) * mix % wrap
+        h ^= h >> 32
+        return h * base % wrap >> (64 - quality.BITS)
+
+    rows, words = [], re.findall(rb"[^\x20\x09-\x0D]+", text)
+    for word in words:
+        edged = b" " + word + b" "
+        for n in quality.GRAMS:
+            for i in range(len(edged) - n + 1):
+                h = edged[i]
+                for x in edged[i + 1 : i + n]:
+                    h = (h * mix + x) % wrap
+                rows.append(slot(h, n))
+    for i, word in enumerate(words):
+        rows.append(slot(sum((x + 1) * pow(base, k, wrap) for k, x in enumerate(word)) % wrap, 1))
+        share = int(math.log2(len(words) / words.count(word)))
+        shape, again = slot(min(len(word), 15) * 64 + share, 2), slot(share * 2 + (i > 0 and words[i - 1] == word), 5)
+        rows += [shape, again] * quality.SHAPE_TIMES
+    return rows
+
+
+def test_features_by_hand():
+    texts = [b"", b" ", b"a", b"one two  two\nlonger-word a a a", "é ñandú 日本 x".encode(), b"x " * 40 + b"y", *(t.encode() for t, _ in labelled(15))]
+    together = [[] for _ in texts]
+    for rows, of in quality.feature_blocks(texts):
+        for row, k in zip(rows.tolist(), of.tolist(), strict=True):
+            together[k].append(row)
+    assert [sorted(x) for x in together] == [sorted(features_by_hand(t)) for t in texts]
+
+
+def test_training_by_hand():
+    """Two epochs of the descent in plain loops over documents and features."""
+    data = labelled(90, 3)
+    texts, y = [t.encode() for t, _ in data], [k for _, k in data]
+    model = quality.train(texts, y, epochs=2)
+    random_, d = np.random.default_rng(quality.SEED), quality.DIMENSIONS
+    vectors, weights, bias = random_.normal(0, 0.1, (1 << quality.BITS, d)), random_.normal(0, 0.5, (d, 2)), np.zeros(2)
+    seen, seen_out, found = collections.defaultdict(lambda: 1e-6), 1e-6, [collections.Counter(features_by_hand(t)) for t in texts]
+    for epoch in range(2):
+        order, step = random_.permutation(len(y)), quality.RATE * (1 - epoch / 2)
+        for i in range(0, len(order), quality.BATCH):
+            batch, gradient, out, change = order[i : i + quality.BATCH], collections.defaultdict(lambda: np.zeros(d)), np.zeros((d, 2)), np.zeros(2)
+            for k in batch:
+                n = sum(found[k].values()) + quality.PRIOR
+                hidden = sum((vectors[r] * (c / n) for r, c in found[k].items()), np.zeros(d))
+                e = np.exp(hidden @ weights + bias)
+                p = e / e.sum() - np.eye(2)[y[k]]
+                for r, c in found[k].items():
+                    gradient[r] += (weights @ p) * (c / n)
+                out, change = out + np.outer(hidden, p) / len(batch), change + p / len(batch)
+            for r, g in gradient.items():
+                seen[r] += (g**2).mean()
+                vectors[r] -= step * g / math.sqrt(seen[r])
+            seen_out += (out**2).mean()
+            weights, bias = weights - step * 0.1 * out / math.sqrt(seen_out), bias - step * 0.1 * change
+    assert np.allclose(model.weights, weights) and np.allclose(model.bias, bias) and np.allclose(model.vectors, vectors)
+
+
 def test_scores_do_not_depend_on_the_batch():
     model = quality.train([t.encode() for t, _ in labelled(80)], [y for _, y in labelled(80)], epochs=1)
     texts = [b"", b" ", b"one", *(t.encode() for t, _ in labelled(20)), b"x " * 500]
@@ -353,6 +419,19 @@ def test_spans_by_a_plain_decoder():
     assert [pii.find_spans(t, weights)[1] for t in texts] == [spans_by_plain_decoder(t, weights) for t in texts]
 
 
+def test_ids_are_the_librarys_for_every_code_point_and_for_mixes():
+    coder, r = arrow_output.WordTokenizer(arrow_output.default_tokenizer()), random.Random(1)
+    codes = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    for k in range(0, len(codes), 4000):
+        words = [w for i in codes[k : k + 4000] for w in (f"a{chr(i)}b", chr(i) * 2)]
+        assert coder.encode(words) == [coder.pack(e.ids) for e in coder.library.encode_batch(words, add_special_tokens=False)]
+    marks = [chr(i) for i in codes if unicodedata.combining(chr(i))]
+    pool = [*"abWYéΣσςİıI.,;:!?'-_ \t12", *marks, *map(chr, range(0x1100, 0x1200)), "\u0958", "\u09df", "\ufb1d", "\u212b", "\u1e9b", "\u2028", "\u200d", "\u3000", "日", "한", "<|"]
+    for _ in range(20_000):
+        text = "".join(r.choice(pool) for _ in range(r.randrange(1, 14)))
+        assert coder.encode([text]) == [coder.whole(text)], text
+
+
 def test_pii_query(spark):
     texts = ["x@y.zz and é 1.2.3.4", None, "", "call (555) 123-4567 now", "1 2 " * 20_000]
     got = {r.doc_id: r for r in pii.find_pii(docs(spark, texts)).collect()}
