@@ -1,6 +1,6 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
-Documents are dealt to tasks by ranges of their id. Each task tokenizes its documents in ascending id order and writes two
+Documents are dealt to tasks by ranges of their id, those that share one by a hash of their texts. Each task tokenizes its documents in ascending id order and writes two
 files to the shared folder: the token stream, as record batches of fixed-size lists (ids and a mask that is false only on
 the padding of the last sequence), and the documents' ids and lengths. Files are in Arrow's stream format, uncompressed, so a
 reader can map them and look at any sequence without a copy. They are written under a name of the attempt and then renamed:
@@ -237,7 +237,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str | None = None,
     manifest = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_q_text"))
-    ranges = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("_q_text"))
+    order = ["doc_id", F.xxhash64("_q_text")]  # rows that share an id, or have none, are parted by their texts
+    ranges = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     written = ranges.mapInArrow(run, "part int, path string, n_docs long, n_tokens long")
     return materialise(written.repartition(1 + shuffle_partitions(spark) // 1000), "arrow-manifest")  # a row for each file
 

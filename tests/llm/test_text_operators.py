@@ -169,6 +169,13 @@ def test_arrow_files(spark):
             assert len(ids) == len(mask) == 64 and not ids.flags.writeable and not ids[~mask].any()
 
 
+def test_rows_without_ids_are_parted(spark):
+    table = spark.createDataFrame([(None, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    manifest = arrow_output.write_sequences(table, shared_path(spark, "test-no-ids"), length=64)
+    rows = sorted(arrow_output.read_documents(manifest).collect(), key=lambda r: r.start)
+    assert max(r.n_docs for r in manifest.collect()) < 300 and len(rows) == 400 and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:], strict=False))
+
+
 # quality
 
 
