@@ -45,7 +45,7 @@ WORDS, TOGETHER = 400_000, 256
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\u03a3\u0130]")
 _ASCII_UNUSUAL = re.compile("[\x1c-\x1f]")
 #: A mark next to another sign: together they are one match of the pattern and must not be parted.
-_MARKS_TOGETHER = re.compile(r"[.,;:!?](?=[^\s\w]|_)|(?:[^\s\w]|_)(?=[.,;:!?])")
+_MARKS_TOGETHER = re.compile(r"[.,;:!?](?:(?=[^\s\w]|_)|(?<=[^\s\w].)|(?<=_.))")
 
 
 def marks_unknown_to(normalize: Callable[[str], str]) -> str:
@@ -89,8 +89,9 @@ class WordTokenizer:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         unknown = marks_unknown_to(normalizers.NFC().normalize_str)
         self.unknown = re.compile(f"[{re.escape(unknown)}]" if unknown else r"(?!)")
-        self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        # None: the word holds an unknown sign, so texts with it go to the library as they are
+        self.words: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
 
     def pack(self, ids: Sequence[int]) -> bytes:
         return np.asarray(ids, self.type).tobytes()
@@ -101,20 +102,31 @@ class WordTokenizer:
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The packed ids of each text, without an end id."""
         normal = [unicodedata.normalize("NFC", t or "") for t in texts]
-        split = [None if "<|" in t or not t.isascii() and (_UNUSUAL.search(t) or self.unknown.search(t)) or _ASCII_UNUSUAL.search(t) else _words(t) for t in normal]
-        new = set().union(*(words for words in split if words)) - self.words.keys()
+        split = [None if "<|" in t or (not t.isascii() and _UNUSUAL.search(t)) or _ASCII_UNUSUAL.search(t) else _words(t) for t in normal]
+        new = set().union(*(words for words in split if words)).difference(self.words)
         if len(self.words) + len(new) > WORDS:  # words of the table before last are forgotten
             self.words, self.before = {}, self.words
             new = set().union(*(words for words in split if words))
-        again = new & self.before.keys()
+        again = {w for w in new if w in self.before}
         self.words.update((w, self.before[w]) for w in again)
         self._learn(new - again)
-        known = self.words.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
+        return [self.whole(t or "") if (ids := self._looked_up(words)) is None else ids for t, words in zip(texts, split, strict=True)]
+
+    def _looked_up(self, words: list[str] | None) -> bytes | None:
+        """The ids of a text's words in a row, unless the library has to see the text as a whole."""
+        if words is None:
+            return None
+        try:
+            return b"".join(map(self.words.__getitem__, words))
+        except TypeError:  # a word with an unknown sign
+            return None
 
     def _learn(self, new: set[str]) -> None:
         """Put words into the table. Words of letters are encoded together: each ends in its only token with an end mark. Some
         letters' normal form is a letter and a combining mark, at which the pattern splits; words with these go to the library."""
+        odd = {w for w in new if not w.isascii() and self.unknown.search(w)}
+        self.words.update(dict.fromkeys(odd))
+        new = new - odd
         letters = [w for w in new if w.isalpha() and unicodedata.is_normalized("NFC", w)]
         width = self.type.itemsize
         for i in range(0, len(letters), TOGETHER):
