@@ -380,4 +380,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read_table(spark, sf_dir, "documents"))
     as_text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(as_text("base").cast("binary"), 256).alias("base_sha256"), as_text("spans").alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(as_text("base").cast("binary"), 256).alias("base_sha256"), as_text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
