@@ -7,7 +7,8 @@ table of learned vectors. The document is the mean of its features' vectors; a s
 Training takes a bounded sample: at most ``SAMPLE`` labelled documents of at most ``SAMPLE_BYTES`` bytes, those whose ids
 hash lowest, never from the held-out quarter (crc32 of the id as text, modulo 4, is 2). Since everything after the table is
 linear up to the softmax, scoring folds the output layer into one number per table row; that table (``2**BITS`` floats, a
-fixed size) is what executors get. Every document is scored over its whole text, in blocks of whole documents.
+fixed size) is what executors get. Every document is scored over its whole text, in blocks of whole documents or, when one is longer than a block, in pieces of
+it that end at white space.
 
 Cases: null and empty texts have no features and get the score of the bias alone; a repeated row gets the same score;
 a document with several labels counts with the largest, null labels and labels other than 0 and 1 are left out; with no
@@ -17,6 +18,7 @@ not read and pass through ``keep_good`` as they are.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -43,6 +45,7 @@ SEED = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_SPACES = re.compile(rb"[\x09-\x0D\x20]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -61,14 +64,15 @@ def _slot(h: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def feature_blocks(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashed features of some documents, kind by kind: (table rows, document numbers in ascending order)."""
-    joined = np.frombuffer(b" " + b" ".join(texts) + b" " * max(GRAMS), np.uint8)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), lengths + 1)
-    owner = np.concatenate(([0], owner, np.full(len(joined) - 1 - len(owner), max(len(texts) - 1, 0))))
-    letter = ~_SPACE[joined]
-    b = np.where(letter, joined, 32).astype(np.uint64)
+def _padded(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes with every white space as a space, some before and after them, and which are not white space."""
+    data = np.frombuffer(b" " + joined + b" " * max(GRAMS), np.uint8)
+    letter = ~_SPACE[data]
+    return np.where(letter, data, 32).astype(np.uint64), letter
+
+
+def _grams(b: np.ndarray, letter: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Table rows of the n-grams of each length, and their places."""
     for n in GRAMS:
         m = len(b) - n + 1
         h, inside = b[:m].copy(), letter[1 : m + 1].copy()
@@ -77,23 +81,75 @@ def feature_blocks(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndar
             if 1 < k < n - 1:
                 inside &= letter[k : m + k]
         at = np.flatnonzero(inside)
-        yield _slot(h[at], n), owner[at + 1]
+        yield _slot(h[at], n), at
+
+
+def _words(b: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first place and length of every word."""
     edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return
+        return starts.astype(np.uint64), starts, starts
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b + np.uint64(1)) * _powers(_BASE, len(b)), dtype=np.uint64)))
-    words = (sums[ends] - sums[starts]) * _powers(_BACK, len(b))[starts]
+    return (sums[ends] - sums[starts]) * _powers(_BACK, len(b))[starts], starts, ends - starts
+
+
+def _shapes(sizes: np.ndarray, share: np.ndarray, again: np.ndarray) -> list[np.ndarray]:
+    """Table rows of the words' shapes."""
+    share = np.log2(share).astype(np.int64)
+    return [_slot((np.minimum(sizes, 15) * 64 + share).astype(np.uint64), 2), _slot((share * 2 + again).astype(np.uint64), 5)] * SHAPE_TIMES
+
+
+def feature_blocks(texts: Sequence[bytes], most: int = BYTES_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of some documents, kind by kind: (table rows, document numbers in ascending order)."""
+    if len(texts) == 1 and len(texts[0]) > most:
+        yield from ((rows, np.zeros(len(rows), np.int64)) for rows in _long_features(texts[0], most))
+        return
+    b, letter = _padded(b" ".join(texts))
+    owner = np.repeat(np.arange(len(texts)), np.array([len(t) for t in texts], np.int64) + 1)
+    owner = np.concatenate(([0], owner, np.full(len(b) - 1 - len(owner), max(len(texts) - 1, 0))))
+    for rows, at in _grams(b, letter):
+        yield rows, owner[at + 1]
+    words, starts, sizes = _words(b, letter)
+    if not len(words):
+        return
     of = owner[starts]
     yield _slot(words, 1), of
     total = np.bincount(of, minlength=len(texts))
     _, same, times = np.unique(words ^ (of.astype(np.uint64) * _MIX), return_inverse=True, return_counts=True)
-    share = np.log2(total[of] / times[same]).astype(np.int64)
-    shape = _slot((np.minimum(ends - starts, 15) * 64 + share).astype(np.uint64), 2)
-    again = _slot((share * 2 + np.concatenate(([False], (words[1:] == words[:-1]) & (of[1:] == of[:-1])))).astype(np.uint64), 5)
-    for _ in range(SHAPE_TIMES):
-        yield shape, of
-        yield again, of
+    again = np.concatenate(([False], (words[1:] == words[:-1]) & (of[1:] == of[:-1])))
+    yield from ((rows, of) for rows in _shapes(sizes, total[of] / times[same], again))
+
+
+def pieces_of(text: bytes, most: int) -> Iterator[bytes]:
+    """A text cut after white space into pieces of at most ``most`` bytes; a longer word stays whole."""
+    start = 0
+    while len(text) - start > most:
+        spaces = np.flatnonzero(_SPACE[np.frombuffer(text, np.uint8, most, start)])
+        further = None if len(spaces) else _SPACES.search(text, start + most)
+        end = start + int(spaces[-1]) + 1 if len(spaces) else further.end() if further else len(text)
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
+def _long_features(text: bytes, most: int) -> Iterator[np.ndarray]:
+    """The features of one long document, piece by piece: words are counted over all of it first."""
+    known, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for piece in pieces_of(text, most):
+        found, n = np.unique(_words(*_padded(piece))[0], return_counts=True)
+        known, same = np.unique(np.concatenate((known, found)), return_inverse=True)
+        times = np.bincount(same, np.concatenate((times, n)), len(known)).astype(np.int64)
+    total, last = times.sum(), np.zeros(0, np.uint64)
+    for piece in pieces_of(text, most):
+        b, letter = _padded(piece)
+        yield from (rows for rows, _ in _grams(b, letter))
+        words, _, sizes = _words(b, letter)
+        if len(words):
+            yield _slot(words, 1)
+            again = np.concatenate((last == words[:1] if len(last) else [False], words[1:] == words[:-1]))
+            yield from _shapes(sizes, total / times[np.searchsorted(known, words)], again)
+            last = words[-1:]
 
 
 @dataclass

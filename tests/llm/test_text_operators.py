@@ -187,6 +187,17 @@ def labelled(n, seed=0):
     return [((good(), 1) if r.random() < 0.7 else (bad(), 0)) for _ in range(n)]
 
 
+@pytest.mark.parametrize("most", [1, 9, 64, 1000])
+def test_features_of_a_long_document_in_pieces(most):
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["aa", "aa aa", "bcd\n", "é", "longer-word", "x" * 90]) for _ in range(300)).encode(), b"x" * 1500, b" " * 1200, b"a b", b""]
+    for text in texts:
+        assert b"".join(quality.pieces_of(text, most)) == text
+        blocks = [[rows for rows, _ in quality.feature_blocks([text], m)] for m in (most, 1 << 20)]
+        got, want = (np.sort(np.concatenate([*rows, np.zeros(0, np.int64)])) for rows in blocks)
+        assert np.array_equal(got, want)
+
+
 def test_the_classifier_learns():
     training, test = labelled(500), labelled(200, 1)
     model = quality.train([t.encode() for t, _ in training], [y for _, y in training])
