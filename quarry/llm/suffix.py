@@ -47,8 +47,10 @@ from .common import discard, materialise, read_table, ship_package, shuffle_part
 LENGTH, WINDOW, GRAM = 400, 256, 16
 #: Occurrences from which a trigger's distances are looked at in parts, and how many parts.
 HOT, PARTS = 20_000, 8
-#: Bytes parsed and contexts ordered at once.
-BYTES_AT_ONCE, CONTEXTS_AT_ONCE = 1 << 20, 1 << 14
+#: Bytes parsed and contexts ordered at once, and contexts cut from a document at once.
+BYTES_AT_ONCE, CONTEXTS_AT_ONCE, CUT_AT_ONCE = 1 << 20, 1 << 14, 1 << 12
+#: Bits of a place in what is parsed at once. Hashes give up as many, the same for every block, so that equal strings agree.
+PLACE_BITS = 22
 #: Bytes of contexts that a map task holds to count equal ones.
 TABLE_BYTES = 32 << 20
 
@@ -124,7 +126,7 @@ def triggers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rule: Rule
     empty = np.zeros(0, np.int64)
     if not len(sizes) or sizes.max() < rule.length:
         return empty, empty, empty, empty
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
+    bits = np.uint64(max(PLACE_BITS, int(len(data)).bit_length()))
     hashes = rolling_hashes(data, rule.gram)
     least = _window_least((hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64), rule.window)
     place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -141,22 +143,37 @@ def triggers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rule: Rule
     return of, t - starts[of], first - starts[of], key.view(np.int64)
 
 
+def triggers_in_pieces(data: np.ndarray, rule: Rule, most: int = BYTES_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Place, first start and key of the triggers of one document, for about ``most`` starts at once."""
+    last = -1
+    for a in range(0, max(0, len(data) - rule.length + 1), most):
+        piece = data[a : a + most + rule.length - 1]
+        _, t, first, key = triggers(piece, np.zeros(1, np.int64), np.array([len(piece)]), rule)
+        new = t + a > last  # the piece before may have its last trigger in common with this one
+        last = int(t[-1]) + a
+        yield t[new] + a, first[new] + a, key[new]
+
+
 def _triggers_of(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", most=BYTES_AT_ONCE):
             texts = part.column("text").to_pylist()
             sizes = np.array([len(x) for x in texts], np.int64)
             data = np.frombuffer(b"".join(texts), np.uint8)
-            of, t, first, key = triggers(data, np.cumsum(sizes) - sizes, sizes, rule)
-            columns = [part.column(c).take(pa.array(of)) for c in ("dk", "tk")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(t.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(key)], names=["dk", "tk", "t", "first", "key"])
+            if len(texts) == 1:
+                found = ((np.zeros(len(t), np.int64), t, first, key) for t, first, key in triggers_in_pieces(data, rule))
+            else:
+                found = [triggers(data, np.cumsum(sizes) - sizes, sizes, rule)]
+            for of, t, first, key in found:
+                columns = [part.column(c).take(pa.array(of)) for c in ("dk", "tk")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(t.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(key)], names=["dk", "tk", "t", "first", "key"])
 
 
 # contexts
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[list[tuple[int, int, int, int, bytes, bytes]]]:
-    """Contexts of the candidate triggers of one row after another: (id, hash, place, part, phrase before, text after)."""
+    """Contexts of the candidate triggers of one row after another, some at once: (id, hash, place, part, phrase before, text after)."""
     for batch in batches:
         for part in slices(batch, "text", most=BYTES_AT_ONCE):
             for row in range(part.num_rows):
@@ -167,6 +184,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[list[
                         if t - first < low:
                             break
                         made.append((dk, tk, t, number, text[max(first, t - high) : t], text[t : t + rule.length - low]))
+                    if len(made) >= CUT_AT_ONCE:
+                        yield made
+                        made = []
                 yield made
 
 
@@ -281,9 +301,11 @@ def _decide(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
     for batch in batches:
         if not batch.num_rows:
             continue
+        keys = batch.column("key")
+        more = not held or keys[-1] != held[-1].column("key")[-1]  # in order: otherwise all of the batch belongs to the last key
         held.append(batch)
         waiting += batch.num_rows
-        if waiting >= CONTEXTS_AT_ONCE:
+        if waiting >= CONTEXTS_AT_ONCE and more:
             table = pa.Table.from_batches(held).combine_chunks()
             key = table.column("key").to_numpy()
             change = np.flatnonzero(key[1:] != key[:-1])

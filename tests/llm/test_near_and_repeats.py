@@ -213,6 +213,33 @@ def test_triggers_depend_on_the_string_alone():
     assert seen[0] == seen[1] == seen[2]
 
 
+@pytest.mark.parametrize("most", [1, 7, 40, 500])
+def test_triggers_of_a_long_document_in_pieces(most):
+    r, rule = random.Random(9), suffix.Rule(40, 24, 4)
+    for n in (0, 39, 40, 41, 300, 1500):
+        data = np.frombuffer(bytes(r.randrange(97, 100) for _ in range(n)), np.uint8)
+        want = suffix.triggers(data, np.array([0]), np.array([n]), rule)[1:]
+        pieces = list(suffix.triggers_in_pieces(data, rule, most))
+        got = [np.concatenate([p[k] for p in pieces] or [np.zeros(0, np.int64)]) for k in range(3)]
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_repeats_of_documents_beyond_a_block(spark, monkeypatch):
+    r = random.Random(10)
+    shared = "".join(r.choice("abcdefgh é") for _ in range(900))
+    texts = ["".join(r.choice("abcdefgh é") for _ in range(700)) + shared[k : 900 - 3 * k] + "xyz" * k for k in range(5)] + [shared * 3, "", "short"]
+    want = repeats_by_hand([t.encode() for t in texts], 40)
+    monkeypatch.setattr(suffix, "CUT_AT_ONCE", 3)
+    rows = frame(spark, texts).selectExpr("doc_id as dk", "doc_id as tk", "cast(text as binary) as text").toArrow().to_batches()
+    rule = suffix.Rule(40, 24, 4)
+    whole = [tuple(x.values()) for b in suffix._triggers_of(iter(rows), rule) for x in b.to_pylist()]
+    monkeypatch.setattr(suffix, "BYTES_AT_ONCE", 100)
+    monkeypatch.setattr(suffix.triggers_in_pieces, "__defaults__", (100,))
+    assert [tuple(x.values()) for b in suffix._triggers_of(iter(rows), rule) for x in b.to_pylist()] == whole
+    got = suffix.remove_repeats(frame(spark, texts), rule).collect()
+    assert [(x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in sorted(got, key=lambda x: x.doc_id)] == want
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 def test_repeats_on_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
