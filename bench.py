@@ -14,8 +14,8 @@ os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')
 
 #: Shapes of counts, key lists, orders, feeds and reductions; each is run once to warm up and then timed.
 HEADLINE = [
-    "flagship", "eq", "in", "hasany", "hasall", "notin", "and", "or", "prefix", "contains", "range_merge", "unordered_limit_by_key", "sort_desc", "pos_scalar_asc", "pos_array_asc", "len_desc", "or_ordered", "offset_limit",
-    "sort_time_second", "count_filter", "count_distinct", "distinct", "group1", "group2", "having_cmp", "order_multi", "order_limit", "mixed_metrics", "measure_by_group", "planner_stats",
+    "flagship", "eq", "in", "hasany", "hasall", "notin", "and", "or", "prefix", "contains", "range_merge", "unordered_limit_by_key", "top_sort", "top_pos_scalar", "top_pos_array", "top_len", "or_ordered", "offset_limit",
+    "top_time", "count_filter", "count_distinct", "distinct", "group1", "group2", "having_cmp", "order_multi", "order_limit", "mixed_metrics", "measure_by_group", "planner_stats",
 ]
 
 

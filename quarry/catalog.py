@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import QuarryError
@@ -75,6 +75,24 @@ def _keys(collection, q: Q) -> Build:
     return lambda spark, sf_dir: collection(spark, sf_dir).query_keys(q)
 
 
+def _placed(collection, q: Q) -> Build:
+    """The keys of a whole sorted query, each with its place from 1 on: the sorted partitions are written, so that they stay as they
+    are, and the places in a partition follow the rows of those before it. Only their counts are summed in one task."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{_folder(spark)}/order-{uuid.uuid4().hex}"
+        keys = collection(spark, sf_dir).query_keys(q)
+        keys.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+        written = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+        before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = written.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        bases = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_base") + 1
+        return written.join(bases, "_part").select(*keys.columns, place.alias("place"))
+
+    return build
+
+
 def _records(collection, q: Q) -> Build:
     return lambda spark, sf_dir: collection(spark, sf_dir).query(q)
 
@@ -152,6 +170,12 @@ def _orderings() -> dict[str, tuple[Build, str]]:
     def p(q, tail):
         return _keys(part, q), f"select p_partkey from {_PART} {tail}"
 
+    def o_all(q, order, where=""):
+        return _placed(orders, q), f"select o_orderkey, row_number() over (order by {order}) as place from {_ORDERS} {where}"
+
+    def p_all(q, order, where=""):
+        return _placed(part, q), f"select p_partkey, row_number() over (order by {order}) as place from {_PART} {where}"
+
     places = "case {} when '3-MEDIUM' then 0 when '1-URGENT' then 1 end".format("o_orderpriority")
     array_places = "case when list_contains(tags, 'rod') then 0 when list_contains(tags, 'blue') then 1 end"
     urgent = ["3-MEDIUM", "1-URGENT", "3-MEDIUM"]
@@ -160,23 +184,28 @@ def _orderings() -> dict[str, tuple[Build, str]]:
             _records(orders, query(EQ("o_orderstatus", "O"), GTE("o_totalprice", 100000)).sort("o_totalprice", DESC).limit(10)),
             f"select * from {_ORDERS} where o_orderstatus = 'O' and o_totalprice >= 100000 order by o_totalprice desc, o_orderkey limit 10",
         ),
-        "sort_asc": o(query().sort("o_totalprice").limit(100), "order by o_totalprice, o_orderkey limit 100"),
-        "sort_desc": o(query().sort("o_custkey", DESC).limit(100), "order by o_custkey desc, o_orderkey limit 100"),
-        "sort_nulls_last_asc": o(query().sort("status").offset(900).limit(400), "order by status asc nulls last, o_orderkey limit 400 offset 900"),
-        "sort_nulls_last_desc": o(query().sort("status", DESC).offset(900).limit(400), "order by status desc nulls last, o_orderkey limit 400 offset 900"),
-        "sort_time_second": (_keys(events, query().sort("ts", DESC).limit(50)), f"select event_id from events order by {_SECOND} desc, event_id limit 50"),
-        "sort_array_min": p(query().sort("tags").limit(50), "where len(tags) > 0 order by list_min(tags), p_partkey limit 50"),
-        "sort_array_max": p(query().sort("tags", DESC).limit(50), "where len(tags) > 0 order by list_max(tags) desc, p_partkey limit 50"),
-        "len_asc": p(query().sort_by(LEN("tags")).limit(30), "order by len(list_distinct(tags)), p_partkey limit 30"),
-        "len_desc": p(query().sort_by(LEN("tags"), DESC).limit(30), "order by len(list_distinct(tags)) desc, p_partkey limit 30"),
-        "pos_scalar_asc": o(query().sort_by(POS("o_orderpriority", urgent)).limit(500), f"order by {places} asc nulls last, o_orderkey limit 500"),
-        "pos_scalar_desc": o(query().sort_by(POS("o_orderpriority", urgent), DESC).limit(500), f"order by {places} desc nulls last, o_orderkey limit 500"),
-        "pos_null_rank": o(query().sort_by(POS("status", [None, "O"])).limit(300), "order by case when status is null then 0 when status = 'O' then 1 end nulls last, o_orderkey limit 300"),
-        "pos_array_asc": p(query().sort_by(POS("tags", ["rod", "blue"])).limit(60), f"order by {array_places} asc nulls last, p_partkey limit 60"),
-        "pos_array_desc": p(query().sort_by(POS("tags", ["rod", "blue"]), DESC).limit(60), f"order by {array_places} desc nulls last, p_partkey limit 60"),
-        "pos_empty": o(query().sort_by(POS("o_orderstatus", [])).limit(20), "order by o_orderkey limit 20"),
-        "key_asc": o(query(GT("o_custkey", 5)).sort(KEY).limit(25), "where o_custkey > 5 order by o_orderkey limit 25"),
-        "key_desc": o(query().sort(KEY, DESC).limit(25), "order by o_orderkey desc limit 25"),
+        "sort_asc": o_all(query().sort("o_totalprice"), "o_totalprice, o_orderkey"),
+        "sort_desc": o_all(query().sort("o_custkey", DESC), "o_custkey desc, o_orderkey"),
+        "sort_nulls_last_asc": o_all(query().sort("status"), "status asc nulls last, o_orderkey"),
+        "sort_nulls_last_desc": o_all(query().sort("status", DESC), "status desc nulls last, o_orderkey"),
+        "sort_time_second": (_placed(events, query().sort("ts", DESC)), f"select event_id, row_number() over (order by {_SECOND} desc, event_id) as place from events"),
+        "sort_array_min": p_all(query().sort("tags"), "list_min(tags), p_partkey", "where len(tags) > 0"),
+        "sort_array_max": p_all(query().sort("tags", DESC), "list_max(tags) desc, p_partkey", "where len(tags) > 0"),
+        "len_asc": p_all(query().sort_by(LEN("tags")), "len(list_distinct(tags)), p_partkey"),
+        "len_desc": p_all(query().sort_by(LEN("tags"), DESC), "len(list_distinct(tags)) desc, p_partkey"),
+        "pos_scalar_asc": o_all(query().sort_by(POS("o_orderpriority", urgent)), f"{places} asc nulls last, o_orderkey"),
+        "pos_scalar_desc": o_all(query().sort_by(POS("o_orderpriority", urgent), DESC), f"{places} desc nulls last, o_orderkey"),
+        "pos_null_rank": o_all(query().sort_by(POS("status", [None, "O"])), "case when status is null then 0 when status = 'O' then 1 end nulls last, o_orderkey"),
+        "pos_array_asc": p_all(query().sort_by(POS("tags", ["rod", "blue"])), f"{array_places} asc nulls last, p_partkey"),
+        "pos_array_desc": p_all(query().sort_by(POS("tags", ["rod", "blue"]), DESC), f"{array_places} desc nulls last, p_partkey"),
+        "pos_empty": o_all(query().sort_by(POS("o_orderstatus", [])), "o_orderkey"),
+        "key_asc": o_all(query(GT("o_custkey", 5)).sort(KEY), "o_orderkey", "where o_custkey > 5"),
+        "key_desc": o_all(query().sort(KEY, DESC), "o_orderkey desc"),
+        "top_sort": o(query().sort("o_custkey", DESC).limit(100), "order by o_custkey desc, o_orderkey limit 100"),
+        "top_time": (_keys(events, query().sort("ts", DESC).limit(50)), f"select event_id from events order by {_SECOND} desc, event_id limit 50"),
+        "top_len": p(query().sort_by(LEN("tags"), DESC).limit(30), "order by len(list_distinct(tags)) desc, p_partkey limit 30"),
+        "top_pos_scalar": o(query().sort_by(POS("o_orderpriority", urgent)).limit(500), f"order by {places} asc nulls last, o_orderkey limit 500"),
+        "top_pos_array": p(query().sort_by(POS("tags", ["rod", "blue"])).limit(60), f"order by {array_places} asc nulls last, p_partkey limit 60"),
         "offset_limit": o(query(EQ("o_orderstatus", "F")).sort("o_totalprice").offset(40).limit(20), "where o_orderstatus = 'F' order by o_totalprice, o_orderkey limit 20 offset 40"),
         "offset_past_end": o(query(EQ(KEY, 1)).sort("o_totalprice").offset(5), "where o_orderkey = 1 order by o_totalprice limit 10 offset 5"),
         "unordered_limit_by_key": o(query(EQ("o_orderstatus", "O")).limit(100), "where o_orderstatus = 'O' order by o_orderkey limit 100"),
