@@ -32,8 +32,8 @@ from .common import read_table, ship_package, slices
 
 #: Blocks in a row of the images that hold bytes, and rows that one image may have (65,535 pixels high at most).
 WIDTH, MAX_ROWS = 64, 8191
-#: Rows of blocks that are coded at once, and bytes of text taken together.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 8192, 1 << 20
+#: Rows of blocks that are coded at once, bytes of text taken together, and bytes of media decoded together.
+ROWS_AT_ONCE, BYTES_AT_ONCE, MEDIA_AT_ONCE = 8192, 1 << 20, 3 << 19
 #: The luminance DC code lengths and categories of the JPEG standard (ITU T.81, table K.3).
 DC_LENGTHS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
 DC_SYMBOLS = list(range(12))
@@ -335,10 +335,25 @@ def dc_thumbnails(media: Sequence[bytes]) -> list[list[tuple[Image, np.ndarray]]
         alike.setdefault(key, []).append(image)
     planes: dict[int, np.ndarray] = {}
     for same in alike.values():
-        _decode_alike(joined, same, planes)
+        for some in _some_at_once(same):
+            _decode_alike(joined, some, planes)
     return [[(i, planes[id(i)]) for i in own] for own in found]
 
 
+def _some_at_once(images: list[Image], most: int = MEDIA_AT_ONCE) -> Iterator[list[Image]]:
+    """Runs of images with at most ``most`` bytes in their scans, or of one image: the strips of a long value aren't all decoded in step."""
+    some, held = [], 0
+    for image in images:
+        size = image.end - image.scan
+        if some and held + size > most:
+            yield some
+            some, held = [], 0
+        some.append(image)
+        held += size
+    if some:
+        yield some
+
+
 def _decode_alike(data: bytes, images: list[Image], planes: dict[int, np.ndarray]) -> None:
     """Decode images that share components and tables, all their restart intervals in step."""
     parts = images[0].components
@@ -381,7 +396,7 @@ def thumbnail_hash(plane: np.ndarray) -> int:
     """64 bits: which cells of an 8 x 8 grid of means are above the mean of the grid."""
     rows, columns = plane.shape
     cuts = [(np.arange(8) * n // 8, np.maximum(np.diff(np.append(np.arange(8) * n // 8, n)), 1)) for n in (rows, columns)]
-    grid = np.add.reduceat(np.add.reduceat(plane.astype(np.int64), cuts[0][0], axis=0), cuts[1][0], axis=1) / cuts[0][1][:, None] / cuts[1][1][None, :]
+    grid = np.add.reduceat(np.add.reduceat(plane, cuts[0][0], axis=0, dtype=np.int64), cuts[1][0], axis=1) / cuts[0][1][:, None] / cuts[1][1][None, :]
     return int.from_bytes(np.packbits(grid > grid.mean()).tobytes(), "big")
 
 
@@ -413,7 +428,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "media", most=BYTES_AT_ONCE * 3 // 2):
+            for part in slices(batch, "media", most=MEDIA_AT_ONCE):
                 stored = part.column("media").to_pylist()
                 read = bytes_from_jpegs(stored)
                 columns = [

@@ -113,6 +113,18 @@ def test_what_is_no_baseline_image(bad):
         media.dc_thumbnails([bad])
 
 
+def test_media_of_long_texts_is_decoded_in_bounded_runs(monkeypatch):
+    lanes, decode = [], media._decode_intervals
+    monkeypatch.setattr(media, "_decode_intervals", lambda data, starts, *rest: lanes.append(len(starts)) or decode(data, starts, *rest))
+    payloads = [b"", bytes(range(256)) * 9000, b"short", bytes(media.WIDTH * media.MAX_ROWS * 5)]
+    stored = media.jpegs_from_bytes(payloads)
+    assert [(p, n) for p, n, _ in media.bytes_from_jpegs(stored)] == [(media.padded(p), len(p)) for p in payloads]
+    assert [media.bytes_from_jpegs([m])[0] for m in stored] == media.bytes_from_jpegs(stored)
+    # an interval has 64 blocks of 3 bits at least, and 2 bytes of marker
+    assert max(lanes) <= media.MEDIA_AT_ONCE // 26 + media.MAX_ROWS < sum(len(media.padded(p)) // media.WIDTH for p in payloads)
+    assert len(lanes) > 3
+
+
 def test_media_query(spark):
     texts = [*ODD, "same", "same"]
     got = {r.doc_id: r for r in media.media_features(media.encode_media(docs(spark, texts))).collect()}
