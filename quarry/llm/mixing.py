@@ -67,14 +67,18 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def _streams(docs: DataFrame, buckets_bits: int) -> DataFrame:
     """Documents with the first word's place in their source's shuffled stream."""
+    # buckets are summed in parts of their source, and parts in their source: no task holds all buckets of a hot one
     digits = max(1, math.ceil(buckets_bits / 4))
     keyed = docs.withColumn("_q_bucket", F.substring("_q_order", 1, digits))
-    sums = keyed.groupBy("source", "_q_bucket").agg(F.sum("size").alias("_q_sum"))
-    before = Window.partitionBy("source").orderBy("_q_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "_q_bucket", F.coalesce(F.sum("_q_sum").over(before), F.lit(0)).alias("_q_base"))
+    part = F.substring("_q_bucket", 1, digits // 2)
+    sums = keyed.groupBy("source", "_q_bucket").agg(F.sum("size").alias("_q_sum")).withColumn("_q_part", part)
+    earlier = lambda by, order: F.coalesce(F.sum("_q_sum").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.groupBy("source", "_q_part").agg(F.sum("_q_sum").alias("_q_sum")).select(F.col("source").alias("_q_s"), F.col("_q_part").alias("_q_p"), earlier(["source"], "_q_part").alias("_q_first"))
+    offsets = sums.select("source", "_q_bucket", "_q_part", earlier(["source", "_q_part"], "_q_bucket").alias("_q_base"))
+    offsets = offsets.join(parts, F.col("source").eqNullSafe(F.col("_q_s")) & (F.col("_q_part") == F.col("_q_p")))
     within = Window.partitionBy("source", "_q_bucket").orderBy("_q_order", "size", "_q_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_q_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    offsets = offsets.select(F.col("source").alias("_q_s"), F.col("_q_bucket").alias("_q_b"), "_q_base")
+    offsets = offsets.select(F.col("source").alias("_q_s"), F.col("_q_bucket").alias("_q_b"), (F.col("_q_first") + F.col("_q_base")).alias("_q_base"))
     joined = placed.join(offsets, F.col("source").eqNullSafe(F.col("_q_s")) & (F.col("_q_bucket") == F.col("_q_b")))
     return joined.withColumn("_q_start", (F.col("_q_base") + F.col("_q_within")).cast("long"))
 
