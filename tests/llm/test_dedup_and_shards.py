@@ -158,13 +158,6 @@ def test_mixing(spark, block):
     assert sorted(map(str, mixing.mix(frame(spark, rows).repartition(3), block).collect())) == sorted(map(str, first))
 
 
-def test_streams_in_parts_are_those_of_one_sum(spark, monkeypatch):
-    rows = [(i, " ".join(["w"] * (i * 7 % 23)), f"s{i % 5 if i % 3 else 0}") for i in range(400)] + [(None, "a b", None), (901, "", None), (2007, "x y z", "s1"), (2007, "x y z", "s1")]
-    one = sorted(map(str, mixing.mix(frame(spark, rows), 7).collect()))
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 0.5)  # three digits: parts of a digit hold buckets of two more
-    assert sorted(map(str, mixing.mix(frame(spark, rows), 7).collect())) == one
-
-
 def test_the_schedule_mixes_evenly(spark):
     targets = spark.createDataFrame([("a", 9000, 6000.0), ("b", 9000, 3000.0), (None, 900, 1000.0)], "source string, source_size long, target double")
     slots = sorted((r.slot, str(r.source)) for r in mixing.schedule(targets, 10_000, 10).collect())
